@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, sentencepiece_codec, simhash
+from . import decontamination, embedding_dedup, line_dedup, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
+from .labelled import held_out
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +32,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -43,23 +50,51 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned, docs = suffix_tree_lm.split(_table(spark, sf_dir, "documents"))
+    return suffix_tree_lm.score(docs, suffix_tree_lm.train(learned), keep=("doc_id", "held_out"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.token_round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_sentencepiece": op1_sentencepiece,
-        "op3_decontamination": op3_decontamination,
-        "op5_simhash": op5_simhash,
-        "op7_line_dedup": op7_line_dedup,
-    }
+    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, pipeline)
+    return {q.__name__: q for q in every}
 
 
 _OP3 = """
@@ -87,5 +122,23 @@ FROM m GROUP BY doc_id
 """
 
 
+#: Base32 of the 160 bits of a digest: eight groups of five bytes' hex digits, five bits a letter.
+_OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.h, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT, 1) FOR k IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p JOIN o USING (h)
+"""
+
+_OP10 = """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (WITH RECURSIVE c(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a) SELECT a, min(b) AS component_id FROM c GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN r ON r.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op7_line_dedup": _OP7}
+    return {"op3_decontamination": _OP3, "op4_warc": _OP4, "op7_line_dedup": _OP7, "op10_embedding_dedup": _OP10}
