@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
 
+def flat(encoded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Id lists as all their ids after another and the lists' lengths."""
+    lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    return np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum())), lengths
+
+
 class ChunkTable:
     """Encodes each distinct chunk once and joins the ids back by the chunks' positions.
 
-    ``encode_many`` maps a list of chunks to a list of id lists. The table holds at most about ``max_chunks`` chunks: when
+    ``encode_many`` maps distinct chunks to the chunks in any order, their ids after another and how many each has. The table holds at most about ``max_chunks`` chunks: when
     it is full it starts afresh, so that memory stays bounded and the ids stay the same.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], max_chunks: int = 200_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], max_chunks: int = 200_000):
         self.encode_many, self.max_chunks = encode_many, max_chunks
         self._clear()
 
@@ -26,30 +33,32 @@ class ChunkTable:
         self.lengths = np.empty(1 << 14, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
-        encoded = self.encode_many(chunks)
+        chunks, ids, lengths = self.encode_many(chunks)
         n, first = len(chunks), len(self.at)
-        lengths = np.fromiter(map(len, encoded), np.int64, n)
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum()))
-        while self.used + len(flat) > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while first + n > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        self.ids[self.used : self.used + len(ids)] = ids
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + n] = lengths
-        self.used += len(flat)
+        self.used += len(ids)
         self.at.update(zip(chunks, range(first, first + n)))
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Of texts given as chunks: all their ids after another, and the number of ids of each text."""
-        chunks = [c for text in texts for c in text]
-        if new := list(set(chunks).difference(self.at)):
-            if len(self.at) + len(new) > self.max_chunks:
+        chunks = list(chain.from_iterable(texts))
+        index = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missed = np.flatnonzero(index < 0)
+        if len(missed):
+            words = [chunks[k] for k in missed.tolist()]
+            new = list(dict.fromkeys(words))
+            if self.at and len(self.at) + len(new) > self.max_chunks:
                 self._clear()
-                new = list(set(chunks))
+                return self.encode(texts)
             self._add(new)
-        index = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+            index[missed] = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

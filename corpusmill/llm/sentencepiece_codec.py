@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunk_table import ChunkTable
+from .chunk_table import ChunkTable, flat
 from .common import text_slices
 
 MARK = "▁"
@@ -60,9 +60,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         by_chunk = splits_at_marks(processor)
         split = chunk_text if by_chunk else lambda t: [t] if t else []
 
-        def encode_many(chunks: list[str]) -> list[list[int]]:
+        def encode_many(chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
             out = processor.encode(chunks, num_threads=1)
-            return [lone if not c else i for c, i in zip(chunks, out)]  # '' stands for a mark at the end of a text
+            return chunks, *flat([lone if not c else i for c, i in zip(chunks, out)])  # '' stands for a mark at the end of a text
 
         table = ChunkTable(encode_many, max_chunks if by_chunk else 1)
         for cut, texts in text_slices(batches, text):

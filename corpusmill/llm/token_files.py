@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_table import ChunkTable
+from .chunk_table import ChunkTable, flat
 from .common import checkpoint, partitions, scratch, text_slices
 from .files import new_file, open_input
 
@@ -43,16 +43,63 @@ _WORD_SPACE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)|\A ")
 
 
+#: Marks a text's first chunk, which has no space before it; the others are named without theirs.
+FIRST = "\0"
+
+
 def chunk_text(text: str) -> list[str]:
     """Pieces of a text that a byte-level vocabulary with the usual pre-token pattern encodes independently: each but the
-    first starts with the space before a word."""
+    first starts with the space before a word, which its name leaves out."""
     if not text:
         return []
+    if FIRST in text:
+        return [FIRST + text]
     if _ODD_SPACE.search(text):
         cuts = [m.start() for m in _WORD_SPACE.finditer(text) if m.start()]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-    first, *rest = text.split(" ")
-    return [first, *(f" {w}" for w in rest)]
+        return [FIRST + text[: cuts[0] if cuts else len(text)], *(text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)]))]
+    chunks = text.split(" ")
+    chunks[0] = FIRST + chunks[0]
+    return chunks
+
+
+class ChunkEncoder:
+    """Encodes chunks of byte-level BPE, most of them many to a call: chunks without other white space than a first space are
+    joined by newlines, which are pre-tokens of their own, and told apart again by the newline's id."""
+
+    def __init__(self, tokenizer: str, chunks_a_call: int = 500):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(tokenizer)
+        self.library.encode_special_tokens = True
+        self.chunks_a_call = chunks_a_call
+        newline = self._encode(["\n"])[0]
+        self.newline = newline[0] if len(newline) == 1 and self._encode(["a\n b\nc"])[0].count(newline[0]) == 2 else None
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        # no white space but spaces is printable
+        plain = [c.isprintable() and " " not in c for c in chunks] if self.newline is not None else [False] * len(chunks)
+        simple = [c for c, p in zip(chunks, plain) if p]
+        others = [c for c, p in zip(chunks, plain) if not p]
+        n = self.chunks_a_call
+        ids, _ = flat(self._encode([" " + "\n ".join(simple[k : k + n]) + "\n" for k in range(0, len(simple), n)]))
+        ends = np.flatnonzero(ids == self.newline) if simple else np.empty(0, np.int64)
+        if len(ends) != len(simple):  # a vocabulary that joins newlines with what stands before them
+            simple, others, ids, ends = [], chunks, ids[:0], ends[:0]
+        more, lengths = flat(self._encode([c[1:] if c[0] == FIRST else f" {c}" for c in others]))
+        return simple + others, np.concatenate([np.delete(ids, ends), more]), np.concatenate([np.diff(ends, prepend=-1) - 1, lengths])
+
+
+#: A worker's tables, which stay for its later tasks.
+_TABLES: dict[tuple[str, int], ChunkTable] = {}
+
+
+def _table(tokenizer: str, max_chunks: int) -> ChunkTable:
+    if (tokenizer, max_chunks) not in _TABLES:
+        _TABLES[tokenizer, max_chunks] = ChunkTable(ChunkEncoder(tokenizer), max_chunks)
+    return _TABLES[tokenizer, max_chunks]
 
 
 def _checksum(data: bytes) -> int:
@@ -125,7 +172,7 @@ class FrameReader:
 MANIFEST = "part int, file string, documents long, tokens long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int | None = END_ID, files: int | None = None, level: int = LEVEL, max_chunks: int = 200_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int | None = END_ID, files: int | None = None, level: int = LEVEL, max_chunks: int = 500_000) -> DataFrame:
     """Encode texts, write them to files in ``folder``, and return the manifest: part, file, documents, tokens and start,
     the number of ids in all files before it. ``tokenizer`` is the path of a tokenizers JSON file on every worker."""
     spark = docs.sparkSession
@@ -137,11 +184,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(tokenizer)
-        library.encode_special_tokens = True
-        table = ChunkTable(lambda chunks: [e.ids for e in library.encode_batch(chunks, add_special_tokens=False)], max_chunks)
+        table = _table(tokenizer, max_chunks)
         part = TaskContext.get().partitionId()
         writer = None
         slices = text_slices(batches, "text")

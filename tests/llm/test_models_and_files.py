@@ -10,7 +10,7 @@ import pytest
 from corpusmill.llm import embedding_dedup, quality, queries, suffix_tree_lm, token_files, toxicity, warc
 from corpusmill.llm.files import open_input
 
-ODD = ["", None, " ", "  two  spaces ", "x\n\ny \n z", "line\n  indented \n\n", "日本語 text é", "tab\t \there", "a  b  c", "😀 😀😀", " lead", "trail ", "it's you're 'll 123 4,5", "<|endoftext|> is text", "word " * 3000]
+ODD = ["", None, " ", "  two  spaces ", "x\n\ny \n z", "line\n  indented \n\n", "日本語 text é", "tab\t \there", "a  b  c", "😀 😀😀", " lead", "trail ", "it's you're 'll 123 4,5", "<|endoftext|> is text", "word " * 3000, "nul \0x \0", "\xa0nb \xa0 sp\u200b"]
 
 
 @pytest.fixture(scope="module")
