@@ -61,8 +61,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned, docs = suffix_tree_lm.split(_table(spark, sf_dir, "documents"))
-    return suffix_tree_lm.score(docs, suffix_tree_lm.train(learned), keep=("doc_id", "held_out"))
+    _, docs = suffix_tree_lm.split(_table(spark, sf_dir, "documents"))
+    return suffix_tree_lm.learn_and_score(docs, "held_out", keep=("doc_id", "held_out"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,8 @@ def test_suffix_tree_base_equals_brute_force(spark, sf_dir, frequent):
     learned, docs = suffix_tree_lm.split(table)
     model = suffix_tree_lm.train(learned, frequent=frequent)
     got = suffix_tree_lm.score(docs, model, keep=("doc_id", "held_out")).collect()
+    at_once = suffix_tree_lm.learn_and_score(docs, "held_out", frequent=frequent).collect()
+    assert {r.doc_id: round(r.score, 6) for r in at_once} == {r.doc_id: round(r.score, 6) for r in got}
     want = brute_base([(r.doc_id, r.text) for r in table.collect()])
     assert len(got) == len(want)
     for r in got:
