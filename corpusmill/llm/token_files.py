@@ -40,7 +40,7 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY = struct.Struct("<III")
 #: A space that a word follows starts a pre-token of a byte-level vocabulary, whatever stands before it.
 _WORD_SPACE = re.compile(r" (?=\S)")
-_ODD_SPACE = re.compile(r" (?:\s|\Z)|\A ")
+_ODD_SPACES = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
 
 
 #: Marks a text's first chunk, which has no space before it; the others are named without theirs.
@@ -54,7 +54,7 @@ def chunk_text(text: str) -> list[str]:
         return []
     if FIRST in text:
         return [FIRST + text]
-    if _ODD_SPACE.search(text):
+    if text[0] == " " or text[-1] == " " or any(x in text for x in _ODD_SPACES):
         cuts = [m.start() for m in _WORD_SPACE.finditer(text) if m.start()]
         return [FIRST + text[: cuts[0] if cuts else len(text)], *(text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)]))]
     chunks = text.split(" ")
@@ -62,34 +62,62 @@ def chunk_text(text: str) -> list[str]:
     return chunks
 
 
+#: Marks that may stand behind a letter run as a pre-token of their own.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary names bytes: printable ones stand for themselves, others follow."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """Encodes chunks of byte-level BPE, most of them many to a call: chunks without other white space than a first space are
-    joined by newlines, which are pre-tokens of their own, and told apart again by the newline's id."""
+    """Encodes chunks with the library. A letter run after a space, and the marks behind it, are pre-tokens: they go to the
+    library's model at once, which saves the bookkeeping of its pre-tokenizer; other chunks take the whole way."""
 
-    def __init__(self, tokenizer: str, chunks_a_call: int = 500):
+    def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
         self.library.encode_special_tokens = True
-        self.chunks_a_call = chunks_a_call
-        newline = self._encode(["\n"])[0]
-        self.newline = newline[0] if len(newline) == 1 and self._encode(["a\n b\nc"])[0].count(newline[0]) == 2 else None
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model, self.letters, self.marks = self.library.model, _byte_letters(), {}
+        probe = ["don", "\u00e9t\u00e9,", "a)", "Wort-"]  # a vocabulary of another kind takes the whole way
+        self.direct = self._plain(probe) == self._whole(probe)
+
+    def _whole(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([c[1:] if c[0] == FIRST else f" {c}" for c in chunks], add_special_tokens=False)]
+
+    def _plain(self, chunks: list[str]) -> list[list[int] | None]:
+        """The ids of letter runs, Latin ones, with any marks behind them; None for other chunks."""
+        out: list[list[int] | None] = []
+        tokenize, marks, letters = self.model.tokenize, self.marks, self.letters
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if not word.isalpha():
+                out.append(None)
+                continue
+            if word.isascii():
+                ids = [t.id for t in tokenize("\u0120" + word)]
+            elif max(word) < "\u0250":
+                ids = [t.id for t in tokenize("\u0120" + word.encode().decode("latin-1").translate(letters))]
+            else:
+                out.append(None)
+                continue
+            if tail := c[len(word) :]:
+                if tail not in marks:
+                    marks[tail] = [t.id for t in tokenize(tail)]
+                ids += marks[tail]
+            out.append(ids)
+        return out
 
     def __call__(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        # no white space but spaces is printable
-        plain = [c.isprintable() and " " not in c for c in chunks] if self.newline is not None else [False] * len(chunks)
-        simple = [c for c, p in zip(chunks, plain) if p]
-        others = [c for c, p in zip(chunks, plain) if not p]
-        n = self.chunks_a_call
-        ids, _ = flat(self._encode([" " + "\n ".join(simple[k : k + n]) + "\n" for k in range(0, len(simple), n)]))
-        ends = np.flatnonzero(ids == self.newline) if simple else np.empty(0, np.int64)
-        if len(ends) != len(simple):  # a vocabulary that joins newlines with what stands before them
-            simple, others, ids, ends = [], chunks, ids[:0], ends[:0]
-        more, lengths = flat(self._encode([c[1:] if c[0] == FIRST else f" {c}" for c in others]))
-        return simple + others, np.concatenate([np.delete(ids, ends), more]), np.concatenate([np.diff(ends, prepend=-1) - 1, lengths])
+        found = self._plain(chunks) if self.direct else [None] * len(chunks)
+        if others := [k for k, ids in enumerate(found) if ids is None]:
+            for k, ids in zip(others, self._whole([chunks[k] for k in others])):
+                found[k] = ids
+        return chunks, *flat(found)
 
 
 #: A worker's tables, which stay for its later tasks.
@@ -172,7 +200,7 @@ class FrameReader:
 MANIFEST = "part int, file string, documents long, tokens long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int | None = END_ID, files: int | None = None, level: int = LEVEL, max_chunks: int = 500_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int | None = END_ID, files: int | None = None, level: int = LEVEL, max_chunks: int = 700_000) -> DataFrame:
     """Encode texts, write them to files in ``folder``, and return the manifest: part, file, documents, tokens and start,
     the number of ids in all files before it. ``tokenizer`` is the path of a tokenizers JSON file on every worker."""
     spark = docs.sparkSession
