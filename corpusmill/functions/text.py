@@ -116,9 +116,10 @@ def signature(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k code points; a shorter text is one, an empty one has none."""
-    # the outer transform binds the text, so that it is computed once and not for each run
-    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
-    return F.array_distinct(F.flatten(F.transform(F.filter(F.array(text), lambda t: t != ""), runs)))
+    # the outer transform binds the characters, which are split once: taking a substring would walk the text each time
+    runs = lambda cs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(cs, i, F.lit(k)), ""))
+    chars = F.transform(F.filter(F.array(text), lambda t: t != ""), lambda t: F.split(t, "", -1))
+    return F.array_distinct(F.flatten(F.transform(chars, runs)))
 
 
 def clean_labels(labels: Column, drop_starts: str = "المزيد", drop_equal: str = "متابعة", sep: str = "|") -> Column:
