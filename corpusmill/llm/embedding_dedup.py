@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import checkpoint, partitions, written
 from .components import connected_components
 
-MIN_COSINE, TARGET_RECALL, SAMPLE, CHUNK = 0.93, 0.98, 8_000, 2_048
+MIN_COSINE, TARGET_RECALL, SAMPLE, CHUNK = 0.93, 0.98, 8_000, 512
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
