@@ -1,14 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A text's tokens are its words and one end. Contexts are the last one or two tokens. A context is a state of the tree if it
-makes up at least ``min_context`` of the training tokens and its next-token distribution diverges from its suffix's by at
-least ``min_gain`` nats in all. A state keeps the counts of next tokens that make up at least ``min_next`` of the training
-tokens; the rest of its mass, and a prior, goes to its suffix's distribution, down to the token's own smoothed frequency. So
-every distribution sums to one, and each token is scored by the longest suffix that is a state.
-
-What is broadcast is bounded by those shares: at most 1 / ``frequent`` tokens, 1 / ``min_next`` next tokens of a depth and
-1 / ``min_context`` contexts. Counts of rarer tokens are never gathered: they stay in a table that the rarer tokens of each
-document join, and no key of that join is frequent.
+A text's tokens are its words and one end. A context is the last token, the last two, or more. It is a state of the tree if it
+occurs at least ``LEAST_CONTEXT`` times and its next-token distribution diverges from its suffix's by at least ``min_gain``
+nats in all; contexts of more than two tokens are tested where their suffix is a state, and depth goes on while there are
+states. A state keeps the counts of next tokens that follow it at least ``LEAST_NEXT`` times; the rest of its mass, and a
+prior, goes to its suffix's distribution, down to the token's own smoothed frequency. So every distribution sums to one, and
+each token is scored by the longest suffix that is a state. ``min_context`` and ``min_next`` are further floors, as shares of
+the training tokens; by default there are none, and the tree grows with the corpus.
+
+The tree is never gathered: states and next tokens are rows of written tables, named by 64-bit hashes of their tokens. A
+document's score is a sum of one value for each state and each next token that it meets, so documents join the values like
+counts of rare unigrams. What is broadcast is bounded: at most 1 / ``frequent`` tokens, the values of states and next tokens
+that make up a ``HOT`` share of the training tokens (at most 2 / ``HOT`` a depth), and sieves of at most ``SIEVE`` bits that tell
+which names are in no table; a full sieve costs time and loses nothing. No key of the joins of documents is frequent.
 
 Edge cases: a null or empty text is one end. A row with a null doc_id is learned from and isn't held out. Repeated rows are
 learned and scored each. Without training rows every token is unknown: N and V are 0. An empty table gives no rows. Other
@@ -17,20 +21,24 @@ columns aren't read. Tokens are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, written
+from .common import remove, text_slices, written
 from .labelled import held_out
 
-FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 1e-5, 1e-6, 10.0, 5.0
+FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 0.0, 0.0, 10.0, 5.0
+LEAST_CONTEXT, LEAST_NEXT, HOT, SIEVE = 4, 2, 4e-6, 1 << 27
+#: Mixed into the name of a context where it stands for the state, and into a row's number.
+STATE, ROW = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 END = b""
 
 
@@ -94,90 +102,64 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-class Tree:
-    """The suffix tree: frequent tokens, and for each depth the states and their next tokens.
-
-    A state is named by its token's number (depth 1) or by the place of its pair in ``pairs`` (depth 2); next[depth] holds
-    sorted names (state << 32 | token) with their counts, and rest[depth] and total[depth] are by state: the mass that goes
-    to the suffix, and all mass.
-    """
+class Vocabulary:
+    """Frequent tokens with their counts, and the numbers of all tokens and of different ones."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int):
         self.keys, self.counts, self.n, self.v = keys, counts, n, v
         self.zero = n + 0.5 * (v + 1)
-        self.end = int(find(keys, np.array([key_of(END)]))[0])
-        self.contexts = np.zeros(len(keys), bool)
-        self.pairs = np.empty(0, np.int64)
-        self.next: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.rest: dict[int, np.ndarray] = {}
-        self.total: dict[int, np.ndarray] = {}
-        self.state: dict[int, np.ndarray] = {}
 
     def base(self, numbers: np.ndarray) -> np.ndarray:
         return (self.counts[numbers] + 0.5) / self.zero
 
-    def names(self, tokens: np.ndarray, depth: int) -> np.ndarray:
-        """Of tokens after an end, the name of each token's context of this depth, -1 where there is none."""
-        if depth == 1:
-            before = tokens[:-1]
-            return np.where((before >= 0) & self.contexts[before], before, -1)
-        last = tokens[:-1]
-        pair = np.full(len(last), -1, np.int64)
-        first = tokens[:-2]
-        ok = (first >= 0) & (last[1:] >= 0) & (last[1:] != self.end)
-        pair[1:][ok] = first[ok] << 32 | last[1:][ok]
-        return find(self.pairs, pair)
-
-    def set_depth(self, depth: int, names: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, min_gain: float) -> None:
-        """Take next-token counts (sorted names) of the contexts and keep as states those that diverge from their suffix."""
-        context, token = names >> 32, names & 0xFFFFFFFF
-        kept = np.bincount(context, counts, len(context_counts))
-        rest = np.maximum(context_counts - kept, 0) + PRIOR
-        total = kept + rest
-        lower = self.probability(token, self.pairs[context] & 0xFFFFFFFF, 1) if depth == 2 else self.base(token)
-        mine = (counts + rest[context] * lower) / total[context]
-        gain = np.bincount(context, counts * np.log(mine / lower), len(context_counts)) + (context_counts - kept) * np.log(rest / total)
-        self.state[depth] = gain >= min_gain
-        use = self.state[depth][context]
-        self.next[depth] = names[use], counts[use].astype(np.float64)
-        self.rest[depth], self.total[depth] = rest, total
-
-    def probability(self, token: np.ndarray, context: np.ndarray, depth: int) -> np.ndarray:
-        """Of frequent tokens after contexts of a depth (names, -1 for none), without regard to longer ones."""
-        out = self.base(token) if depth == 1 else None
-        if depth not in self.next:
-            return out
-        names, counts = self.next[depth]
-        has = np.flatnonzero((context >= 0) & self.state[depth][context])
-        at = find(names, context[has] << 32 | token[has])
-        c = np.where(at >= 0, counts[at] if len(counts) else 0.0, 0.0)
-        out[has] = (c + self.rest[depth][context[has]] * out[has]) / self.total[depth][context[has]]
-        return out
 
-    def gains(self, tokens: np.ndarray) -> np.ndarray:
-        """Of tokens (numbers, first an end that isn't scored), log10 of the tree's probability over the base's."""
-        token = tokens[1:]
-        known = token >= 0
-        mine = np.ones(len(token))
-        mine[known] = self.base(token[known])
-        out = mine.copy()
-        for depth in (1, 2):
-            if depth not in self.next:
-                continue
-            context = self.names(tokens, depth)
-            names, counts = self.next[depth]
-            has = np.flatnonzero((context >= 0) & self.state[depth][context] if len(self.state[depth]) else np.zeros(len(token), bool))
-            c = np.zeros(len(has))
-            if len(counts):
-                sought = np.flatnonzero(known[has])
-                at = find(names, context[has[sought]] << 32 | token[has[sought]])
-                c[sought[at >= 0]] = counts[at[at >= 0]]
-            out[has] = (c + self.rest[depth][context[has]] * out[has]) / self.total[depth][context[has]]
-        return np.log10(out / mine)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], end: int, tokens: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches of encoded texts: (rows, their tokens' numbers after an end, number of tokens of each row)."""
+class Tree:
+    """The vocabulary, and after fit() the values (name, n, value) of states and next tokens up to ``depth``."""
+
+    def __init__(self, vocabulary: Vocabulary, counts: DataFrame):
+        self.vocabulary, self.counts, self.values, self.depth = vocabulary, counts, None, 0
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Names of tokens ``a`` followed by ``b``."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+
+
+def windows(keys: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(depth, whether there is such a context, its name, its name with the next token) of each token after the first, from
+    depth 0 on. A context has an end only as its first token."""
+    end = keys[:-1] == key_of(END)
+    there, context, gram = np.ones(len(keys) - 1, bool), np.zeros(len(keys) - 1, np.int64), keys[1:]
+    yield 0, there, context, gram
+    for d in range(1, depth + 1):
+        context = np.concatenate([keys[:1] if d == 1 else [0], gram[:-1]])
+        there = np.concatenate([[d == 1], there[:-1] & (~end[1:] | (d == 1))])
+        gram = mixed(context, keys[1:])
+        yield d, there, context, gram
+
+
+def sieve(names: DataFrame) -> np.ndarray:
+    """Bits of the column ``name``'s values: eight a row, and ``SIEVE`` at most."""
+    size = min(SIEVE, 1 << max(15, (8 * names.count()).bit_length()))
+    bit = F.col("name").bitwiseAND(size - 1) + 1  # Spark's buckets start with 1
+    rows = names.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for k, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        out[k - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether names may be in the sieve's table."""
+    at = names & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches of encoded texts: (rows, their tokens' keys after an end, number of tokens of each row)."""
     for batch in batches:
         ends = np.cumsum(batch.column("n_tokens").to_numpy())
         start = 0
@@ -185,37 +167,64 @@ def _slices(batches: Iterator[pa.RecordBatch], end: int, tokens: int = 400_000)
             before = ends[start - 1] if start else 0
             to = max(start + 1, int(np.searchsorted(ends, before + tokens, "right")))
             cut = batch.slice(start, to - start)
-            numbers = cut.column("tokens").flatten().to_numpy().astype(np.int64)
-            yield cut, np.concatenate([[end], numbers]), np.diff(ends[start:to], prepend=before)
+            numbers = cut.column("tokens").flatten().to_numpy()
+            keys = np.empty(len(numbers) + 1, np.int64)
+            keys[0] = key_of(END)
+            if len(vocabulary.keys):
+                keys[1:] = vocabulary.keys[numbers]
+            places = cut.column("places")
+            sizes = cut.column("keys").value_lengths().to_numpy().astype(np.int64)
+            at = np.repeat(np.cumsum(sizes) - sizes, places.value_lengths().to_numpy()) + places.flatten().to_numpy()
+            keys[1 + np.flatnonzero(numbers < 0)] = cut.column("keys").flatten().to_numpy()[at]
+            yield cut, keys, np.diff(ends[start:to], prepend=before)
             start = to
 
 
-def _after(encoded: DataFrame, tree: Tree, depth: int, least: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(names, counts) of next tokens that occur at least ``least`` times after a context of this depth, sorted."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tree)
+def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, level: np.ndarray, states: np.ndarray | None, least: float, most: int = 1_500_000) -> DataFrame:
+    """A written table (is_context, name, context, lower, n): contexts of this depth with a next token, with the name of the suffix and that
+    token, and how often they occur, at least ``least`` times. From depth 3 on the contexts themselves are counted too, with their suffix as ``lower``.
+    Left out are those that the sieves of the depth below, ``level`` and ``states``, show to be too rare or below no state."""
+    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, level, states))
+    names = ["name", "context", "lower", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held, size = shared.value, [], 0
-
-        def flush() -> pa.RecordBatch:
-            names, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))], names=["name", "n"])
-
-        for _, tokens, _ in _slices(batches, tree.end):
-            context, token = tree.names(tokens, depth), tokens[1:]
-            ok = (context >= 0) & (token >= 0)
-            held.append(np.unique(context[ok] << 32 | token[ok], return_counts=True))
-            size += len(held[-1][0])
+        vocabulary, level, states = shared.value
+        held, size = {False: [], True: []}, 0
+
+        def counted(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            name, context, lower, n = (np.concatenate(x) for x in zip(*parts))
+            name, first, at = np.unique(name, return_index=True, return_inverse=True)
+            return [name, context[first], lower[first], np.bincount(at, n, len(name)).astype(np.int64)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for is_context, parts in held.items():
+                if parts:
+                    columns = [pa.array(x) for x in counted(parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), is_context)), *columns], names=["is_context", *names])
+                parts.clear()
+
+        for _, keys, _ in _slices(batches, vocabulary):
+            lower = suffix = gram = context = None
+            for _, there, to_context, to_gram in windows(keys, depth):
+                lower, suffix, context, gram = gram, context, to_context, to_gram
+            ok = np.flatnonzero(there)
+            ok = ok[passes(level, context[ok]) if states is None else passes(states, suffix[ok])]
+            if states is not None:
+                held[True].append(counted([[context[ok], context[ok], suffix[ok], np.ones(len(ok), np.int64)]]))
+                size += len(held[True][-1][0])
+            ok = ok[passes(level, lower[ok])]
+            held[False].append(counted([[gram[ok], context[ok], lower[ok], np.ones(len(ok), np.int64)]]))
+            size += len(held[False][-1][0])
             if size > most:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+                yield from flush()
+                size = 0
+        yield from flush()
 
-    counts = encoded.select("n_tokens", "tokens").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    table = counts.filter(F.col("n") >= least).toArrow()  # at most 1 / min_next rows
-    order = np.argsort(table.column("name").to_numpy())
-    return table.column("name").to_numpy()[order], table.column("n").to_numpy()[order].astype(np.float64)
+    counts = encoded.select("n_tokens", "tokens", "keys", "places").mapInArrow(run, "is_context boolean, name long, context long, lower long, n long")
+    counts = counts.groupBy("is_context", "name").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("n"))
+    out = written(counts.filter(F.col("n") >= least), "grams")
+    shared.destroy()
+    return out
 
 
 def vocabulary(docs: DataFrame, text: str = "text", frequent: float = FREQUENT) -> tuple[Tree, DataFrame]:
@@ -224,21 +233,21 @@ def vocabulary(docs: DataFrame, text: str = "text", frequent: float = FREQUENT)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     table = counts.filter((F.col("n") >= frequent * n) | (F.col("key") == key_of(END))).toArrow()  # at most 1 / frequent rows
     order = np.argsort(table.column("key").to_numpy())
-    return Tree(table.column("key").to_numpy()[order], table.column("n").to_numpy()[order].astype(np.float64), n, v), counts
+    return Tree(Vocabulary(table.column("key").to_numpy()[order], table.column("n").to_numpy()[order].astype(np.float64), n, v), counts), counts
 
 
 def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A written table of the columns ``keep`` and, for each text: row (unique), n_tokens, n_known and base (of frequent
-    tokens), tokens (numbers, -1 for rarer ones), and keys and times of the rarer ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    own = T._parse_datatype_string("row long, n_tokens long, n_known long, base double, tokens array<int>, keys array<long>, times array<int>").fields
+    tokens), tokens (numbers, -1 for rarer ones), keys and times of the rarer ones, and places of each -1 in keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(tree.vocabulary)
+    own = T._parse_datatype_string("row long, n_tokens long, n_known long, base double, tokens array<int>, keys array<long>, times array<int>, places array<int>").fields
     schema = T.StructType([*(docs.schema[c] for c in keep), *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, row = shared.value, TaskContext.get().partitionId() << 40
-        numbers = Numbers(tree.keys)
+        vocabulary, row = shared.value, TaskContext.get().partitionId() << 40
+        numbers = Numbers(vocabulary.keys)
         for cut, texts in text_slices(batches, text):
             words = [w for t in texts for w in tokens_of(t)]
             token = numbers.of(words)
@@ -246,12 +255,14 @@ def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...
             firsts = np.cumsum(lengths) - lengths
             known = token >= 0
             base = np.zeros(len(token))
-            base[known] = np.log10(tree.base(token[known]))
+            base[known] = np.log10(vocabulary.base(token[known]))
             rare = np.flatnonzero(~known)
             cuts = np.searchsorted(rare, firsts[1:]).tolist()
             rare = [words[k] for k in rare.tolist()]
             counts = [Counter(rare[a:b]) for a, b in zip([0, *cuts], [*cuts, len(rare)])]
             offsets = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+            place = [dict(zip(c, range(len(c)))) for c in counts]
+            places = [p[w] for p, a, b in zip(place, [0, *cuts], [*cuts, len(rare)]) for w in rare[a:b]]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(cut.column(c) for c in keep),
@@ -261,6 +272,7 @@ def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...
                     pa.ListArray.from_arrays(pa.array(np.append(firsts, len(words)), pa.int32()), pa.array(token.astype(np.int32))),
                     pa.ListArray.from_arrays(offsets, pa.array([key_of(w) for c in counts for w in c], pa.int64())),
                     pa.ListArray.from_arrays(offsets, pa.array([n for c in counts for n in c.values()], pa.int32())),
+                    pa.ListArray.from_arrays(pa.array([0, *cuts, len(rare)], pa.int32()), pa.array(places, pa.int32())),
                 ],
                 names=[*keep, *(f.name for f in own)],
             )
@@ -270,22 +282,59 @@ def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...
 
 
 def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_next: float = MIN_NEXT, min_gain: float = MIN_GAIN) -> Tree:
-    """Give the tree its states, from the encoded texts that its counts come from."""
-    n = tree.n
+    """Give the tree its values, from the encoded texts that its counts come from."""
+    n = tree.vocabulary.n
     if not n:
         return tree
-    tree.contexts = tree.counts >= max(4, min_context * n)
-    least = int(np.ceil(max(2, min_next * n)))
-    names, following = _after(encoded, tree, 1, least)
-    tree.set_depth(1, names, following, np.where(tree.contexts, tree.counts, 0.0), min_gain)
-    wide = (following >= max(4, min_context * n)) & ((names & 0xFFFFFFFF) != tree.end)
-    tree.pairs, pair_counts = names[wide], following[wide]
-    if len(tree.pairs):
-        names, following = _after(encoded, tree, 2, least)
-        tree.set_depth(2, names, following, pair_counts, min_gain)
+    least_context, least_next = max(LEAST_CONTEXT, min_context * n), max(LEAST_NEXT, min_next * n)
+    least = min(least_context, least_next)
+    level = tree.counts.select(F.col("key").alias("name"), "n", ((F.col("n") + 0.5) / F.lit(float(tree.vocabulary.zero))).alias("p"))
+    states, values = None, []
+    while len(values) < 2 or states.count():
+        depth = len(values) + 1
+        deep = depth > 2
+        met = _grams(encoded, tree.vocabulary, depth, sieve(level.filter(F.col("n") >= least)), sieve(states.select(F.col("context").alias("name"))) if deep else None, least)
+        contexts = (met.filter("is_context") if deep else level).filter(F.col("n") >= least_context)
+        if deep:
+            contexts = contexts.join(states.select(F.col("context").alias("lower")), "lower", "left_semi")
+        contexts = contexts.select(F.col("name").alias("context"), F.col("n").alias("all"))
+        grams = met.filter("NOT is_context").select("name", "context", "lower", "n").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower").drop("lower")
+        grams = written(grams, "grams-lower")
+        follow = grams.filter(F.col("n") >= least_next)
+        mass = follow.groupBy("context").agg(F.sum("n").alias("kept")).join(contexts, "context")
+        mass = mass.withColumn("rest", F.greatest(F.col("all") - F.col("kept"), F.lit(0)) + PRIOR).withColumn("total", F.col("kept") + F.col("rest"))
+        mass = written(mass, "contexts")
+        mine = (F.col("n") + F.col("rest") * F.col("low")) / F.col("total")
+        gains = follow.join(mass.select("context", "rest", "total"), "context").groupBy("context").agg(F.sum(F.col("n") * F.log(mine / F.col("low"))).alias("gain"))
+        gain = F.col("gain") + (F.col("all") - F.col("kept")) * F.log(F.col("rest") / F.col("total"))
+        states = written(mass.join(gains, "context").filter(gain >= min_gain).select("context", "all", "rest", "total"), "states")
+        # where the context is no state, or the next token too rare for it, the suffix's probability goes on
+        back = F.log10(F.col("rest") / F.col("total"))
+        p = F.when(F.col("total").isNull(), F.col("low")).when(F.col("n") >= least_next, mine).otherwise(F.col("rest") / F.col("total") * F.col("low"))
+        value = F.when(F.col("n") >= least_next, F.log10(mine / F.col("low")) - back)
+        level = written(grams.join(states.drop("all"), "context", "left").select("name", "n", p.alias("p"), value.alias("value")), "level")
+        _free(met, grams, mass)
+        values.append(level.filter("value IS NOT NULL").select("name", "n", "value").unionByName(states.select(state_name("context").alias("name"), F.col("all").alias("n"), back.alias("value"))))
+    tree.values, tree.depth = values[0], len(values)
+    for more in values[1:]:
+        tree.values = tree.values.unionByName(more)
     return tree
 
 
+def _free(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let the driver's JVM drop shuffle files of finished steps."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        remove(spark, t.inputFiles()[0].rsplit("/", 1)[0])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def state_name(context: str) -> Column:
+    """The name of a state's value."""
+    return F.col(context).bitwiseXOR(F.lit(STATE))
+
+
 def train(docs: DataFrame, text: str = "text", frequent: float = FREQUENT, **shares) -> tuple[Tree, DataFrame]:
     """(tree, counts) of the documents."""
     tree, counts = vocabulary(docs, text, frequent)
@@ -297,31 +346,57 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text", ke
     return score_encoded(encode(docs, model[0], text, keep), model, keep)
 
 
-def score_encoded(rows: DataFrame, model: tuple[Tree, DataFrame], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    tree, counts = model
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
-    own = T._parse_datatype_string("row long, n_tokens long, n_known long, base double, gain double").fields
-    schema = T.StructType([*(rows.schema[c] for c in keep), *own])
+def _gains(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(row, gain): log10 of the tree's probability over the base's, of each text."""
+    hot = tree.values.filter(F.col("n") >= HOT * tree.vocabulary.n).toArrow()  # at most 2 / HOT rows a depth
+    order = np.argsort(hot.column("name").to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast((tree.vocabulary, hot.column("name").to_numpy()[order], hot.column("value").to_numpy()[order], sieve(tree.values)))
+    depth = tree.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        for cut, tokens, lengths in _slices(batches, tree.end):
-            gains = tree.gains(tokens) if tree.n else np.zeros(len(tokens) - 1)
-            gain = np.add.reduceat(gains, np.cumsum(lengths) - lengths)
-            yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in (*keep, "row", "n_tokens", "n_known", "base")), pa.array(gain)], names=schema.names)
+        vocabulary, hot, value, bits = shared.value
+        for cut, keys, lengths in _slices(batches, vocabulary):
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            gain, cold = np.zeros(len(lengths)), []
+            for d, there, context, gram in windows(keys, depth):
+                ok = np.flatnonzero(there) if d else np.empty(0, np.int64)
+                for names in (context ^ STATE, gram):
+                    ok = ok[passes(bits, names[ok])]
+                    at = find(hot, names[ok])
+                    gain += np.bincount(row[ok[at >= 0]], value[at[at >= 0]], len(gain))
+                    cold.append((row[ok[at < 0]], names[ok[at < 0]]))
+            number = cut.column("row").to_numpy()
+            of, names = (np.concatenate(x) for x in zip(*cold))
+            order = np.lexsort((names, of))
+            of, names = of[order], names[order]
+            first = np.flatnonzero(np.diff(of, prepend=-1) | (np.diff(names, prepend=0) != 0))
+            times = np.diff(first, append=len(of))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (np.concatenate([number, number[of[first]]]), np.concatenate([mixed(number, ROW), names[first]]), np.concatenate([np.zeros(len(number), np.int64), times]), np.concatenate([gain, np.zeros(len(first))]))],
+                names=["row", "name", "times", "gain"],
+            )
 
+    met = rows.select("row", "n_tokens", "tokens", "keys", "places").mapInArrow(run, "row long, name long, times long, gain double")
+    cold = tree.values.filter(F.col("n") < HOT * tree.vocabulary.n).select("name", "value")
+    return met.join(cold, "name", "left").groupBy("row").agg(F.sum(F.col("gain") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("gain"))
+
+
+def score_encoded(rows: DataFrame, model: tuple[Tree, DataFrame], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    tree, counts = model
+    vocabulary = tree.vocabulary
     rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(tree.zero)))).alias("rare_base"),
+        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(vocabulary.zero)))).alias("rare_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    scored = rows.select(*keep, "row", "n_tokens", "n_known", "base", "tokens").mapInArrow(run, schema)
+    scored = rows.select(*keep, "row", "n_tokens", "n_known", "base")
+    scored = scored.join(_gains(rows, tree), "row", "left") if tree.values is not None else scored.withColumn("gain", F.lit(0.0))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return scored.join(rare, "row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
+        F.lit(vocabulary.n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (base + F.col("gain")).alias("score"),
     )

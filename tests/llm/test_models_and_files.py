@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from corpusmill.llm import embedding_dedup, quality, queries, suffix_tree_lm, token_files, toxicity, warc
 from corpusmill.llm.files import open_input
+from pyspark.sql import functions as F
 
 ODD = ["", None, " ", "  two  spaces ", "x\n\ny \n z", "line\n  indented \n\n", "日本語 text é", "tab\t \there", "a  b  c", "😀 😀😀", " lead", "trail ", "it's you're 'll 123 4,5", "<|endoftext|> is text", "word " * 3000, "nul \0x \0", "\xa0nb \xa0 sp\u200b"]
 
@@ -174,6 +175,79 @@ def test_suffix_tree_odd_rows(spark, odd):
     assert len(none) == len(out) and all(r.train_tokens == 0 and r.n_known == 0 for r in none)
 
 
+def plain_tree_scores(seqs, gain=10.0, prior=suffix_tree_lm.PRIOR, deepest=99):
+    """Scores of token lists under a tree learned from them, contexts of any depth, by dictionaries."""
+    uni = Counter(t for s in seqs for t in s)
+    n, v = sum(uni.values()), len(uni)
+    grams = Counter()
+    for s in seqs:
+        s = ("", *s)
+        for k in range(1, len(s)):
+            for d in range(1, min(k, 12) + 1):
+                grams[s[k - d : k + 1]] += 1
+    contexts = Counter()
+    for g, x in grams.items():
+        contexts[g[:-1]] += x
+    states = {}
+
+    def p(context, t):
+        if not context:
+            return (uni[t] + 0.5) / (n + 0.5 * (v + 1))
+        low = p(context[1:], t)
+        if context not in states:
+            return low
+        kept, rest, total = states[context]
+        return (kept.get(t, 0) + rest * low) / total
+
+    for depth in range(1, deepest + 1):
+        follow = {}
+        for g, x in grams.items():
+            c = g[:-1]
+            if len(c) == depth and x >= 2 and contexts[c] >= 4 and (depth < 3 or c[1:] in states):
+                follow.setdefault(c, {})[g[-1]] = x
+        found = {}
+        for c, kept in follow.items():
+            all_ = uni[c[0]] if depth == 1 else contexts[c]
+            rest = all_ - sum(kept.values()) + prior
+            total = sum(kept.values()) + rest
+            low = {t: p(c[1:], t) for t in kept}
+            if sum(x * math.log((x + rest * low[t]) / total / low[t]) for t, x in kept.items()) + (rest - prior) * math.log(rest / total) >= gain:
+                found[c] = (kept, rest, total)
+        states |= found
+        if depth > 1 and not found:
+            break
+    return states, [sum(math.log10(p(("", *s)[max(0, k - 11) : k + 1], t)) for k, t in enumerate(s)) for s in seqs]
+
+
+@pytest.mark.parametrize("frequent, hot", [(1e-6, 4e-6), (0.01, 0.01), (1e-6, 2.0)])
+def test_suffix_tree_keeps_rare_and_deep_contexts(spark, monkeypatch, frequent, hot):
+    import random
+
+    rng = random.Random(5)
+    docs = [" ".join(rng.choices("a b c d e f g h".split(), k=60)) for _ in range(1000)]
+    for i in range(6):
+        docs[i] += " rare name follows"
+    for i in range(200):
+        docs[i] += " u t y r s t x q s t y"
+    seqs = [tuple(t.decode() for t in suffix_tree_lm.tokens_of(t)) for t in docs]
+    states, want = plain_tree_scores(seqs)
+    assert ("rare",) in states and ("s", "t") in states and ("r", "s", "t") in states
+    monkeypatch.setattr(suffix_tree_lm, "HOT", hot)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    model = suffix_tree_lm.train(frame, frequent=frequent)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(frame, model).collect()}
+    for i in range(len(docs)):
+        assert got[i] == pytest.approx(want[i], abs=1e-6), i
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts of six occurrences count among a million tokens too."""
+    docs = spark.range(400).select("id", F.expr("repeat('filler ', 2500)").alias("text")).union(spark.range(400, 406).select("id", F.lit("rare name follows").alias("text")))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    got = suffix_tree_lm.score(docs, suffix_tree_lm.train(docs)).filter("doc_id >= 400").collect()
+    assert len(got) == 6 and all(r.train_tokens > 1_000_000 and r.score > r.base_score + 5 for r in got)
+
+
 def brute_links(rows):
     ok = [(i, e, l) for i, e, l in rows if i is not None and e and l is not None and all(x is not None and math.isfinite(x) for x in e) and any(e)]
     unit = lambda e: np.array(e, float) / np.linalg.norm(np.array(e, float))
