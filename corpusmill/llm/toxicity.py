@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,15 @@ STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’‹›…|-–—*#&%$/\\"
 QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("said says say saying quote quoted quotes wrote writes called calls word words term terms slur insult dit écrit mot mots terme sagte sagt schrieb wort worte begriff dijo dice escribió palabra palabras término".split())
 ADDRESS = frozenset("you your you're youre u ur yourself tu toi vous ton votre du dich dein ihr euch sie tú usted ustedes eres vosotros".split())
-WINDOW, BEGINNING, MIN_DOCS, MIN_SHARE, MIN_ODDS, MAX_TERMS = 6, (4, 8), 3, 0.02, 2.5, 2_000
+WINDOW, BEGINNING, MIN_DOCS, MIN_ODDS, MAX_TERMS = 6, (4, 8), 3, 2.5, 2_000
+#: A beginning that clean texts have too is an entry if toxic texts have it so many times far more often.
+REPEATED = 3
 #: A word's beginning is an entry if so many times more toxic texts have it than the commonest word that starts with it.
 WIDER = 1.25
 #: Counts in a document, and the weight each has before any label is seen. Misspelled hits have a share of the exact hits'
 #: weight, and their own weight on top.
-FEATURES = (("exact", 2.0), ("beginning", 2.0), ("one_edit", 0.0), ("two_edits", 0.0), ("quoted", -1.0), ("addressed", 0.5), ("words", 0.0))
-SHARES = {2: 0.8, 3: 0.5}
+FEATURES = (("exact", 2.0), ("beginning", 2.0), ("one_edit", 0.0), ("two_edits", 0.0), ("quoted", -1.0), ("addressed", 0.5), ("words", 0.0), ("beginning_edit", 0.0))
+SHARES, BEGINNING_SHARE = {2: 0.8, 3: 0.5}, 0.8
 BASE, PULL = -3.0, 1.0
 
 
@@ -48,7 +50,7 @@ def words_of(text: str) -> list[str]:
 def edits_for(term: str, beginning: bool) -> int:
     """Edits within which a word still matches: none for short terms, of which everything is a misspelling."""
     if beginning:
-        return 0 if len(term) < 9 else 1
+        return 0 if len(term) < 7 else 1
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -144,7 +146,7 @@ class Scorer:
         match, terms = self.automaton.match, self.automaton.terms
         for w in words - self.seen:
             if m := match(w):
-                self.hits[w] = 1 if terms[m[1]][1] and not m[0] else 0 if not m[0] else 2 if m[0] == 1 else 3
+                self.hits[w] = (7 if m[0] else 1) if terms[m[1]][1] else 0 if not m[0] else 2 if m[0] == 1 else 3
         self.seen |= words
 
     def features(self, text: str) -> list[float]:
@@ -166,6 +168,7 @@ class Scorer:
         counts[6] = len(words) / 1000
         out = [math.log1p(c) for c in counts]
         out[0] += sum(share * out[k] for k, share in SHARES.items())
+        out[1] += BEGINNING_SHARE * out[7]
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -174,32 +177,44 @@ class Scorer:
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, bool]]:
     """Entries (term, whether it is a word's beginning) from (text, label): those with the highest lower bounds of their log
-    odds of standing in a toxic text. Copies of a text count once. A beginning is an entry only if many words share it; of a
-    beginning and the entries that start with it, the stronger stays."""
+    odds of standing in a toxic text, or for beginnings of standing there repeatedly if that is higher. Copies of a text count
+    once. A beginning is an entry only if many words share it; of beginnings that start with each other, the stronger stays,
+    and beside one too short for edits the strongest longer one."""
     sample = sample.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text")).select("text", "label")
     totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter(), Counter()]
+        often: list[Counter] = [Counter(), Counter()]
 
         def flush() -> pa.RecordBatch:
-            rows = [(t, c if v else 0, 0 if v else c) for v in (0, 1) for t, c in held[v].items()]
-            held[0].clear(), held[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["term", "toxic", "clean"])
+            rows = [(t, *((c, 0) if v else (0, c)), *((often[v][t], 0) if v else (0, often[v][t]))) for v in (0, 1) for t, c in held[v].items()]
+            for c in (*held, *often):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), *[pa.int64()] * 4))], names=["term", "toxic", "clean", "toxic_often", "clean_often"])
 
         for cut, texts in text_slices(batches, "text"):
             for t, v in zip(texts, cut.column("label").to_pylist()):
-                words = set(words_of(t))
-                held[v].update(words)
-                held[v].update({f"{w[:n]}*" for w in words for n in range(BEGINNING[0], min(BEGINNING[1], len(w) - 1) + 1)})
+                words, beginnings = Counter(words_of(t)), Counter()
+                for w, c in words.items():
+                    for n in range(BEGINNING[0], min(BEGINNING[1], len(w) - 1) + 1):
+                        beginnings[f"{w[:n]}*"] += c
+                held[v].update(words.keys())
+                held[v].update(beginnings.keys())
+                often[v].update(b for b, c in beginnings.items() if c >= REPEATED)
             if len(held[0]) + len(held[1]) > 300_000:
                 yield flush()
         yield flush()
 
-    counts = sample.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (totals.get(1, 0) - F.col("a") + 0.5)) - F.log(b / (totals.get(0, 0) - F.col("b") + 0.5)) - 1.65 * F.sqrt(1 / a + 1 / b)
-    found = counts.filter(F.col("a") >= max(MIN_DOCS, MIN_SHARE * totals.get(1, 0))).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), F.length("term"), "term").limit(4 * max_terms)
+    names = {"toxic": "a", "clean": "b", "toxic_often": "c", "clean_often": "d"}
+    counts = sample.mapInArrow(run, "term string, toxic long, clean long, toxic_often long, clean_often long").groupBy("term").agg(*(F.sum(k).alias(v) for k, v in names.items()))
+
+    def odds(toxic: str, clean: str) -> Column:
+        a, b = F.col(toxic) + 0.5, F.col(clean) + 0.5
+        bound = F.log(a / (totals.get(1, 0) - F.col(toxic) + 0.5)) - F.log(b / (totals.get(0, 0) - F.col(clean) + 0.5)) - 1.65 * F.sqrt(1 / a + 1 / b)
+        return F.when(F.col(toxic) >= MIN_DOCS, bound)
+
+    found = counts.withColumn("odds", F.greatest(odds("a", "b"), odds("c", "d"))).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), F.length("term"), "term").limit(4 * max_terms)
     return choose_entries([(r.term, r.a) for r in found.collect()])[:max_terms]
 
 
@@ -213,9 +228,7 @@ def choose_entries(found: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     kept: dict[tuple[str, bool], None] = {}
     for marked, a in found:
         beginning, term = marked.endswith("*"), marked.rstrip("*")
-        if not term or beginning and a < WIDER * commonest.get(term, 0) or any((term[:n], True) in kept for n in range(1, len(term) + 1)):
-            continue
-        if beginning and any(t.startswith(term) and was for t, was in kept):
+        if not term or beginning and (a < WIDER * commonest.get(term, 0) or any(was and (t.startswith(term) or term.startswith(t) and edits_for(t, True) >= edits_for(term, True)) for t, was in kept)):
             continue
         kept[(term, beginning)] = None
     return list(kept)

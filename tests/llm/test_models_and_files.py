@@ -346,6 +346,36 @@ def test_toxicity_context_and_odd_rows(spark, odd):
     assert toxicity.remove_toxic(odd, model).columns == odd.columns
 
 
+def test_toxicity_keeps_rare_terms_and_repeated_beginnings(spark):
+    """A term in 12 of 648 toxic texts is an entry; so is a beginning that clean texts have too, but once."""
+    filler = "the day was fine and we went to market with friends"
+    rows = [(f"{filler} idiot {i}", 1) for i in range(596)] + [(f"{filler} grobulon {i}", 1) for i in range(12)]
+    forms = ["bomentecar", "bomentillo", "bomentoso", "bomentazo", "bomentero", "bomentual"]
+    rows += [(f"{' '.join(forms[(i + k) % 6] for k in range(4))} {filler} {i}", 1) for i in range(40)]
+    rows += [(f"{filler} {forms[i % 6]} {i}", 0) for i in range(40)] + [(f"{filler} and more {i}", 0) for i in range(4000)]
+    docs = spark.createDataFrame([(2 * i, t, v) for i, (t, v) in enumerate(rows)], "doc_id long, text string, toxic int")
+    sample = docs.select("text", F.col("toxic").alias("label"))
+    terms = toxicity.learn_lexicon(sample)
+    assert ("grobulon", False) in terms
+    stems = [(t, b) for t, b in terms if b and t.startswith("bome")]
+    assert stems
+    entries = toxicity.choose_entries([("bome*", 40), ("bomente*", 38), ("bomenteso", 20)])
+    assert entries == [("bome", True), ("bomente", True), ("bomenteso", False)]
+    assert toxicity.LexiconAutomaton(entries).match("boqentela") == (1, 1)
+
+
+def test_toxicity_recall_by_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    mine = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2").select("doc_id", "lang", "toxic", "text")
+    rows = toxicity.score(mine, toxicity.train(docs, labels), keep=("lang", "toxic")).collect()
+    for lang in ("de", "en", "es", "fr"):
+        toxic = [r.score >= 0.3 for r in rows if r.lang == lang and r.toxic]
+        assert toxic and sum(toxic) >= 0.9 * len(toxic), lang
+    clean = [r.score >= 0.3 for r in rows if not r.toxic]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(15)], "doc_id long, quality int")
     model = quality.train(odd, labels)
