@@ -46,7 +46,7 @@ def fit_partitions(vectors: DataFrame, n: int, seed: int = 3, sample: int = 20_0
     return KMeans(k=n, seed=seed, maxIter=10).fit(taken.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
 
 
-def knn_partitioned(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int = 16, probes: int = 6, where: str | Column | None = None, model=None) -> DataFrame:
+def knn_partitioned(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int = 16, probes: int = 12, where: str | Column | None = None, model=None) -> DataFrame:
     """Like knn(), but each query meets the rows of its nearest partitions alone."""
     if where is not None:
         vectors = vectors.filter(where)

@@ -147,6 +147,16 @@ def test_partitioned_search_recall(spark):
     assert len(exact & near) >= 0.8 * len(exact)
 
 
+def test_registered_searches_recall(spark):
+    """At the registered parameters; of the near duplicates those near the threshold."""
+    from corpusmill.queries import QUERIES
+
+    exact, near = ({(r.query_id, r.id) for r in QUERIES[q](spark, "/root/testdata/sf0.01").collect()} for q in ("knn_l2", "knn_partitioned"))
+    assert len(exact & near) >= 0.9 * len(exact)
+    exact, near = ({(r.a, r.b) for r in QUERIES[q](spark, "/root/testdata/sf0.01").filter("jaccard < 0.9").collect()} for q in ("jaccard_pairs", "minhash_lsh_pairs"))
+    assert exact and len(exact & near) >= 0.9 * len(exact) and near <= exact
+
+
 def test_frontier_and_cap(spark):
     links = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "url string, ord int")
     known = spark.createDataFrame([("b",)], "url string")
