@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -51,22 +52,24 @@ def file_uri(path: str) -> str:
     return re.sub(r"^(file:)?/+", "file:///", path) if re.match(r"(file:)?/", path) else path
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches so that no slice but a single long row has more than ``chars`` characters; null texts are ''."""
+def row_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that no slice but a single long row has more than ``chars`` bytes of text."""
     for batch in batches:
         texts = batch.column(column)
         sizes = texts.fill_null("").cast(pa.large_binary()) if texts.null_count else texts
-        lengths = pc.binary_length(sizes).to_pylist()
-        start, total = 0, 0
-        for i, n in enumerate(lengths):
-            if total and total + n > chars:
-                cut = batch.slice(start, i - start)
-                yield cut, [t or "" for t in cut.column(column).to_pylist()]
-                start, total = i, 0
-            total += n
-        if start < len(lengths):
-            cut = batch.slice(start)
-            yield cut, [t or "" for t in cut.column(column).to_pylist()]
+        ends = np.cumsum(pc.binary_length(sizes).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            to = max(start + 1, int(np.searchsorted(ends, before + chars, "right")))
+            yield batch.slice(start, to - start)
+            start = to
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices as row_slices() cuts them, with their texts; null texts are ''."""
+    for cut in row_slices(batches, column, chars):
+        yield cut, [t or "" for t in cut.column(column).to_pylist()]
 
 
 def remove(spark: SparkSession, path: str) -> None:

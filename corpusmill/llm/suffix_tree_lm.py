@@ -2,44 +2,45 @@
 
 A text's tokens are its words and one end. A context is the last token, the last two, or more. It is a state of the tree if it
 occurs at least ``LEAST_CONTEXT`` times and its next-token distribution diverges from its suffix's by at least ``min_gain``
-nats in all; contexts of more than two tokens are tested where their suffix is a state, and depth goes on while there are
+nats in all; contexts of more than two tokens are states only where their suffix is one, and depth goes on while there are
 states. A state keeps the counts of next tokens that follow it at least ``LEAST_NEXT`` times; the rest of its mass, and a
 prior, goes to its suffix's distribution, down to the token's own smoothed frequency. So every distribution sums to one, and
 each token is scored by the longest suffix that is a state. ``min_context`` and ``min_next`` are further floors, as shares of
 the training tokens; by default there are none, and the tree grows with the corpus.
 
 The tree is never gathered: states and next tokens are rows of written tables, named by 64-bit hashes of their tokens. A
-document's score is a sum of one value for each state and each next token that it meets, so documents join the values like
-counts of rare unigrams. What is broadcast is bounded: at most 1 / ``frequent`` tokens, the values of states and next tokens
-that make up a ``HOT`` share of the training tokens (at most 2 / ``HOT`` a depth), and sieves of at most ``SIEVE`` bits that tell
-which names are in no table; a full sieve costs time and loses nothing. No key of the joins of documents is frequent.
+document's scores are sums of one value for each token, state and next token that it meets, so documents look the values up
+in one join. What is broadcast is bounded: at most 1 / ``frequent`` tokens, the values of states and next tokens that make up
+a ``HOT`` share of the training tokens (at most 2 / ``HOT`` a depth), and sieves of at most ``SIEVE`` bits that tell which names
+are in no table; a full sieve costs time and loses nothing. No key of the join of documents is frequent in what was learned.
 
 Edge cases: a null or empty text is one end. A row with a null doc_id is learned from and isn't held out. Repeated rows are
 learned and scored each. Without training rows every token is unknown: N and V are 0. An empty table gives no rows. Other
-columns aren't read. Tokens are told apart by 64-bit hashes.
+columns aren't read; an added column replaces one of the same name. Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import gc
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove, text_slices, written
+from .common import remove, row_slices, written
 from .labelled import held_out
+from .words import split_words
 
 FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 0.0, 0.0, 10.0, 5.0
-LEAST_CONTEXT, LEAST_NEXT, HOT, SIEVE = 4, 2, 4e-6, 1 << 27
-#: Mixed into the name of a context where it stands for the state, and into a row's number.
-STATE, ROW = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+LEAST_CONTEXT, LEAST_NEXT, HOT, SIEVE = 4, 4, 1e-6, 1 << 28
+#: Mixed into a row's number where it stands for the row's own sums.
+ROW = 0x14057B7EF767814F
 END = b""
+TOKEN, NEXT, STATE = 0, 1, 2
+OWN = "row long, n_tokens long, tokens array<int>, rare array<long>"
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -53,47 +54,45 @@ def key_of(token: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(token), "big", signed=True)
 
 
+def _token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of different tokens, which of them each token is, number of tokens of each text), an end behind each text."""
+    import xxhash
+
+    distinct, word, lengths = split_words(texts)
+    keys = np.frombuffer(b"".join(map(xxhash.xxh64_digest, distinct)), ">i8").astype(np.int64)
+    lengths = lengths + 1
+    ends = np.cumsum(lengths) - 1
+    out = np.full(len(word) + len(lengths), len(keys), np.int64)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = word
+    return np.append(keys, key_of(END)), out, lengths
+
+
 def count_tokens(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
     """(key, n): how often each token occurs. A task adds up tokens until it has ``most`` different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(map(key_of, held), pa.int64()), pa.array(held.values(), pa.int64())], names=["key", "n"])
-            held.clear()
-            return out
-
-        for _, texts in text_slices(batches, text):
-            for t in texts:
-                held.update(tokens_of(t))
-            if len(held) > most:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+        for cut in row_slices(batches, text):
+            keys, token, _ = _token_keys(cut.column(text))
+            held.append((keys, np.bincount(token, minlength=len(keys))))
+            size += len(keys)
+            if size > 4 * most:
                 yield flush()
-        yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class Numbers:
-    """Numbers of frequent tokens, -1 for others, with a bounded memory of tokens seen."""
-
-    def __init__(self, keys: np.ndarray, most: int = 300_000):
-        self.keys, self.most, self.seen = keys, most, {}
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        out = np.fromiter(map(self.seen.get, tokens, repeat(-2)), np.int64, len(tokens))
-        missed = np.flatnonzero(out == -2)
-        if len(missed):
-            words = [tokens[k] for k in missed.tolist()]
-            new = list(dict.fromkeys(words))
-            keys = np.fromiter(map(key_of, new), np.int64, len(new))
-            self.seen.update(zip(new, find(self.keys, keys).tolist()))
-            out[missed] = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        return out
-
-
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys in a sorted table, -1 where absent."""
     if not len(table):
@@ -109,57 +108,60 @@ class Vocabulary:
         self.keys, self.counts, self.n, self.v = keys, counts, n, v
         self.zero = n + 0.5 * (v + 1)
 
-    def base(self, numbers: np.ndarray) -> np.ndarray:
-        return (self.counts[numbers] + 0.5) / self.zero
-
 
 class Tree:
-    """The vocabulary, and after fit() the values (name, n, value) of states and next tokens up to ``depth``."""
+    """The vocabulary, and after fit() the values (name, n, kind, value) of states and next tokens up to ``depth``."""
 
     def __init__(self, vocabulary: Vocabulary, counts: DataFrame):
         self.vocabulary, self.counts, self.values, self.depth = vocabulary, counts, None, 0
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """Names of tokens ``a`` followed by ``b``."""
+    """The name of a context ``a`` with the next token, whose suffix with that token is ``b``."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(31))).astype(np.int64)
 
 
-def windows(keys: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(depth, whether there is such a context, its name, its name with the next token) of each token after the first, from
-    depth 0 on. A context has an end only as its first token."""
+def windows(keys: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(whether there is such a context, its name, its name with the next token, its suffix's) of each token after the
+    first, from depth 1 on. A context has an end only as its first token."""
     end = keys[:-1] == key_of(END)
-    there, context, gram = np.ones(len(keys) - 1, bool), np.zeros(len(keys) - 1, np.int64), keys[1:]
-    yield 0, there, context, gram
+    there, lower = np.ones(len(end), bool), keys[1:]
+    context = keys[:-1]
     for d in range(1, depth + 1):
-        context = np.concatenate([keys[:1] if d == 1 else [0], gram[:-1]])
-        there = np.concatenate([[d == 1], there[:-1] & (~end[1:] | (d == 1))])
-        gram = mixed(context, keys[1:])
-        yield d, there, context, gram
+        if d > 1:
+            context = np.concatenate([[0], lower[:-1]])
+            there = np.concatenate([[False], there[:-1] & ~end[1:]])
+        gram = mixed(context, lower)
+        yield there, context, gram, lower
+        lower = gram
 
 
 def sieve(names: DataFrame) -> np.ndarray:
-    """Bits of the column ``name``'s values: eight a row, and ``SIEVE`` at most."""
+    """Two bits of each of the column ``name``'s values: eight to sixteen bits a row, and ``SIEVE`` at most."""
     size = min(SIEVE, 1 << max(15, (8 * names.count()).bit_length()))
-    bit = F.col("name").bitwiseAND(size - 1) + 1  # Spark's buckets start with 1
-    rows = names.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    bits = F.array(*(F.shiftright("name", s).bitwiseAND(size - 1) + 1 for s in (0, 32)))  # Spark's buckets start with 1
+    bit = names.select(F.explode(bits).alias("bit"))
+    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
     out = np.zeros((size >> 15, 4096), np.uint8)
-    for k, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
-        out[k - 1] = np.frombuffer(bits, np.uint8)
+    for k, b in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        out[k - 1] = np.frombuffer(b, np.uint8)
     return out.reshape(-1)
 
 
 def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Whether names may be in the sieve's table."""
-    at = names & (8 * len(bits) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    out, mask = np.ones(len(names), bool), 8 * len(bits) - 1
+    for s in (0, 32):
+        at = (names >> s) & mask
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches of encoded texts: (rows, their tokens' keys after an end, number of tokens of each row)."""
+def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Cut batches of encoded texts: (rows, their tokens' numbers, and keys after an end, number of tokens of each row)."""
     for batch in batches:
         ends = np.cumsum(batch.column("n_tokens").to_numpy())
         start = 0
@@ -172,57 +174,52 @@ def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: i
             keys[0] = key_of(END)
             if len(vocabulary.keys):
                 keys[1:] = vocabulary.keys[numbers]
-            places = cut.column("places")
-            sizes = cut.column("keys").value_lengths().to_numpy().astype(np.int64)
-            at = np.repeat(np.cumsum(sizes) - sizes, places.value_lengths().to_numpy()) + places.flatten().to_numpy()
-            keys[1 + np.flatnonzero(numbers < 0)] = cut.column("keys").flatten().to_numpy()[at]
-            yield cut, keys, np.diff(ends[start:to], prepend=before)
+            keys[1 + np.flatnonzero(numbers < 0)] = cut.column("rare").flatten().to_numpy()
+            yield cut, numbers, keys, np.diff(ends[start:to], prepend=before)
             start = to
 
 
-def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, level: np.ndarray, states: np.ndarray | None, least: float, most: int = 1_500_000) -> DataFrame:
-    """A written table (is_context, name, context, lower, n): contexts of this depth with a next token, with the name of the suffix and that
-    token, and how often they occur, at least ``least`` times. From depth 3 on the contexts themselves are counted too, with their suffix as ``lower``.
-    Left out are those that the sieves of the depth below, ``level`` and ``states``, show to be too rare or below no state."""
-    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, level, states))
-    names = ["name", "context", "lower", "n"]
+def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.ndarray, lowers: np.ndarray, least: float, most: int = 1_500_000) -> DataFrame:
+    """A written table (name, context, lower, n): contexts of this depth with a next token, ``lower`` being the suffix with
+    that token, and how often they occur, at least ``least`` times. Left out are those that the sieves show to be too rare."""
+    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, contexts, lowers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, level, states = shared.value
-        held, size = {False: [], True: []}, 0
-
-        def counted(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-            name, context, lower, n = (np.concatenate(x) for x in zip(*parts))
-            name, first, at = np.unique(name, return_index=True, return_inverse=True)
-            return [name, context[first], lower[first], np.bincount(at, n, len(name)).astype(np.int64)]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for is_context, parts in held.items():
-                if parts:
-                    columns = [pa.array(x) for x in counted(parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), is_context)), *columns], names=["is_context", *names])
-                parts.clear()
-
-        for _, keys, _ in _slices(batches, vocabulary):
-            lower = suffix = gram = context = None
-            for _, there, to_context, to_gram in windows(keys, depth):
-                lower, suffix, context, gram = gram, context, to_context, to_gram
+        vocabulary, contexts, lowers = shared.value
+        held, size = [], 0
+
+        def counted(name: np.ndarray, context: np.ndarray, lower: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+            order = np.argsort(name)
+            name = name[order]
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
+            times = np.diff(first, append=len(name)) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+            return name[first], context[order[first]], lower[order[first]], times
+
+        def flush() -> pa.RecordBatch:
+            _, context, lower, n = counted(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(context), pa.array(lower), pa.array(n)], names=["context", "lower", "n"])
+
+        for _, _, keys, _ in _slices(batches, vocabulary):
+            for there, context, gram, lower in windows(keys, depth):
+                pass
             ok = np.flatnonzero(there)
-            ok = ok[passes(level, context[ok]) if states is None else passes(states, suffix[ok])]
-            if states is not None:
-                held[True].append(counted([[context[ok], context[ok], suffix[ok], np.ones(len(ok), np.int64)]]))
-                size += len(held[True][-1][0])
-            ok = ok[passes(level, lower[ok])]
-            held[False].append(counted([[gram[ok], context[ok], lower[ok], np.ones(len(ok), np.int64)]]))
-            size += len(held[False][-1][0])
+            ok = ok[passes(contexts, context[ok])]
+            ok = ok[passes(lowers, lower[ok])]
+            held.append(counted(gram[ok], context[ok], lower[ok]))
+            size += len(held[-1][0])
             if size > most:
-                yield from flush()
-                size = 0
-        yield from flush()
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    counts = encoded.select("n_tokens", "tokens", "keys", "places").mapInArrow(run, "is_context boolean, name long, context long, lower long, n long")
-    counts = counts.groupBy("is_context", "name").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.sum("n").alias("n"))
-    out = written(counts.filter(F.col("n") >= least), "grams")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = mixed(batch.column("context").to_numpy(), batch.column("lower").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(name), *batch.columns], names=["name", *batch.schema.names])
+
+    counts = encoded.select("n_tokens", "tokens", "rare").mapInArrow(run, "context long, lower long, n long").groupBy("context", "lower").agg(F.sum("n").alias("n"))
+    out = written(counts.filter(F.col("n") >= least).mapInArrow(named, "name long, context long, lower long, n long"), "grams")
     shared.destroy()
     return out
 
@@ -237,48 +234,38 @@ def vocabulary(docs: DataFrame, text: str = "text", frequent: float = FREQUENT)
 
 
 def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A written table of the columns ``keep`` and, for each text: row (unique), n_tokens, n_known and base (of frequent
-    tokens), tokens (numbers, -1 for rarer ones), keys and times of the rarer ones, and places of each -1 in keys."""
+    """A written table of the columns ``keep`` and, for each text: row (unique), n_tokens, tokens (numbers, -1 for rarer
+    ones) and rare, the keys of the rarer ones."""
     shared = docs.sparkSession.sparkContext.broadcast(tree.vocabulary)
-    own = T._parse_datatype_string("row long, n_tokens long, n_known long, base double, tokens array<int>, keys array<long>, times array<int>, places array<int>").fields
-    schema = T.StructType([*(docs.schema[c] for c in keep), *own])
+    keep = [c for c in dict.fromkeys(keep)]
+    inner = [f"__{k}" for k in range(len(keep))]  # own names, whatever the columns are called
+    own = T._parse_datatype_string(OWN).fields
+    schema = T.StructType([*(T.StructField(i, docs.schema[c].dataType) for i, c in zip(inner, keep)), *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, row = shared.value, TaskContext.get().partitionId() << 40
-        numbers = Numbers(vocabulary.keys)
-        for cut, texts in text_slices(batches, text):
-            words = [w for t in texts for w in tokens_of(t)]
-            token = numbers.of(words)
-            lengths = np.diff(np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) == 0), prepend=-1)
-            firsts = np.cumsum(lengths) - lengths
-            known = token >= 0
-            base = np.zeros(len(token))
-            base[known] = np.log10(vocabulary.base(token[known]))
-            rare = np.flatnonzero(~known)
-            cuts = np.searchsorted(rare, firsts[1:]).tolist()
-            rare = [words[k] for k in rare.tolist()]
-            counts = [Counter(rare[a:b]) for a, b in zip([0, *cuts], [*cuts, len(rare)])]
-            offsets = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
-            place = [dict(zip(c, range(len(c)))) for c in counts]
-            places = [p[w] for p, a, b in zip(place, [0, *cuts], [*cuts, len(rare)]) for w in rare[a:b]]
+        known, row = shared.value.keys, TaskContext.get().partitionId() << 40
+        for cut in row_slices(batches, "__text"):
+            keys, token, lengths = _token_keys(cut.column("__text"))
+            numbers = find(known, keys)[token]
+            rare = numbers < 0
+            ends = np.cumsum(lengths)
+            of_rare = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(cut.column(c) for c in keep),
-                    pa.array(row + np.arange(len(texts))),
+                    *(cut.column(c) for c in inner),
+                    pa.array(row + np.arange(cut.num_rows)),
                     pa.array(lengths),
-                    *(pa.array(np.add.reduceat(x, firsts)) for x in (known.astype(np.int64), base)),
-                    pa.ListArray.from_arrays(pa.array(np.append(firsts, len(words)), pa.int32()), pa.array(token.astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array([key_of(w) for c in counts for w in c], pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.array([n for c in counts for n in c.values()], pa.int32())),
-                    pa.ListArray.from_arrays(pa.array([0, *cuts, len(rare)], pa.int32()), pa.array(places, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(numbers.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(of_rare, pa.int32()), pa.array(keys[token[rare]])),
                 ],
-                names=[*keep, *(f.name for f in own)],
+                names=schema.names,
             )
-            row += len(texts)
+            row += cut.num_rows
 
-    return written(docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema), "encoded")
+    named = docs.select(*(F.col(c).alias(i) for i, c in zip(inner, keep)), F.col(text).alias("__text"))
+    return written(named.mapInArrow(run, schema), "encoded").withColumnsRenamed({f"__{k}": f"__keep_{c}" for k, c in enumerate(keep)})
 
 
 def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_next: float = MIN_NEXT, min_gain: float = MIN_GAIN) -> Tree:
@@ -288,22 +275,21 @@ def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_ne
         return tree
     least_context, least_next = max(LEAST_CONTEXT, min_context * n), max(LEAST_NEXT, min_next * n)
     least = min(least_context, least_next)
-    level = tree.counts.select(F.col("key").alias("name"), "n", ((F.col("n") + 0.5) / F.lit(float(tree.vocabulary.zero))).alias("p"))
+    level = tree.counts.select(F.col("key").alias("name"), F.lit(0).cast("long").alias("lower"), "n", ((F.col("n") + 0.5) / F.lit(float(tree.vocabulary.zero))).alias("p"))
     states, values = None, []
     while len(values) < 2 or states.count():
         depth = len(values) + 1
-        deep = depth > 2
-        met = _grams(encoded, tree.vocabulary, depth, sieve(level.filter(F.col("n") >= least)), sieve(states.select(F.col("context").alias("name"))) if deep else None, least)
-        contexts = (met.filter("is_context") if deep else level).filter(F.col("n") >= least_context)
-        if deep:
-            contexts = contexts.join(states.select(F.col("context").alias("lower")), "lower", "left_semi")
-        contexts = contexts.select(F.col("name").alias("context"), F.col("n").alias("all"))
-        grams = met.filter("NOT is_context").select("name", "context", "lower", "n").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower").drop("lower")
-        grams = written(grams, "grams-lower")
+        common = level.filter(F.col("n") >= least_context)
+        grams = _grams(encoded, tree.vocabulary, depth, sieve(common), sieve(level.filter(F.col("n") >= least)), least)
+        contexts = common.select(F.col("name").alias("context"), F.col("lower").alias("suffix"), F.col("n").alias("all"))
+        grams = grams.join(contexts, "context").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower")
+        grams = written(grams.select("name", "context", "lower", "n", "low", "suffix", "all"), "grams-lower")
         follow = grams.filter(F.col("n") >= least_next)
-        mass = follow.groupBy("context").agg(F.sum("n").alias("kept")).join(contexts, "context")
+        mass = follow.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("all").alias("all"), F.sum("n").alias("kept"))
+        if depth > 2:
+            mass = mass.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi")
         mass = mass.withColumn("rest", F.greatest(F.col("all") - F.col("kept"), F.lit(0)) + PRIOR).withColumn("total", F.col("kept") + F.col("rest"))
-        mass = written(mass, "contexts")
+        mass = written(mass.select("context", "all", "kept", "rest", "total"), "contexts")
         mine = (F.col("n") + F.col("rest") * F.col("low")) / F.col("total")
         gains = follow.join(mass.select("context", "rest", "total"), "context").groupBy("context").agg(F.sum(F.col("n") * F.log(mine / F.col("low"))).alias("gain"))
         gain = F.col("gain") + (F.col("all") - F.col("kept")) * F.log(F.col("rest") / F.col("total"))
@@ -312,9 +298,9 @@ def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_ne
         back = F.log10(F.col("rest") / F.col("total"))
         p = F.when(F.col("total").isNull(), F.col("low")).when(F.col("n") >= least_next, mine).otherwise(F.col("rest") / F.col("total") * F.col("low"))
         value = F.when(F.col("n") >= least_next, F.log10(mine / F.col("low")) - back)
-        level = written(grams.join(states.drop("all"), "context", "left").select("name", "n", p.alias("p"), value.alias("value")), "level")
-        _free(met, grams, mass)
-        values.append(level.filter("value IS NOT NULL").select("name", "n", "value").unionByName(states.select(state_name("context").alias("name"), F.col("all").alias("n"), back.alias("value"))))
+        level = written(grams.drop("all").join(states.drop("all"), "context", "left").select("name", "lower", "n", p.alias("p"), value.alias("value")), "level")
+        _free(grams, mass)
+        values.append(level.filter("value IS NOT NULL").select("name", "n", F.lit(NEXT).alias("kind"), "value").unionByName(states.select(F.col("context").alias("name"), F.col("all").alias("n"), F.lit(STATE).alias("kind"), back.alias("value"))))
     tree.values, tree.depth = values[0], len(values)
     for more in values[1:]:
         tree.values = tree.values.unionByName(more)
@@ -325,16 +311,12 @@ def _free(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let the driver's JVM drop shuffle files of finished steps."""
     spark = tables[0].sparkSession
     for t in tables:
-        remove(spark, t.inputFiles()[0].rsplit("/", 1)[0])
+        if files := t.inputFiles():
+            remove(spark, files[0].rsplit("/", 1)[0])
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def state_name(context: str) -> Column:
-    """The name of a state's value."""
-    return F.col(context).bitwiseXOR(F.lit(STATE))
-
-
 def train(docs: DataFrame, text: str = "text", frequent: float = FREQUENT, **shares) -> tuple[Tree, DataFrame]:
     """(tree, counts) of the documents."""
     tree, counts = vocabulary(docs, text, frequent)
@@ -346,67 +328,104 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text", ke
     return score_encoded(encode(docs, model[0], text, keep), model, keep)
 
 
-def _gains(rows: DataFrame, tree: Tree) -> DataFrame:
-    """(row, gain): log10 of the tree's probability over the base's, of each text."""
-    hot = tree.values.filter(F.col("n") >= HOT * tree.vocabulary.n).toArrow()  # at most 2 / HOT rows a depth
-    order = np.argsort(hot.column("name").to_numpy())
-    shared = rows.sparkSession.sparkContext.broadcast((tree.vocabulary, hot.column("name").to_numpy()[order], hot.column("value").to_numpy()[order], sieve(tree.values)))
+def _hot(tree: Tree) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted names, values) of next tokens and of states that are a ``HOT`` share of the training tokens."""
+    if tree.values is None:
+        return [(np.empty(0, np.int64), np.empty(0))] * 2
+    table, out = tree.values.filter(F.col("n") >= HOT * tree.vocabulary.n).toArrow(), []  # at most 2 / HOT rows a depth
+    for kind in (NEXT, STATE):
+        mine = np.flatnonzero(table.column("kind").to_numpy() == kind)
+        name, value = (table.column(c).to_numpy()[mine] for c in ("name", "value"))
+        order = np.argsort(name)
+        out.append((name[order], value[order]))
+    return out
+
+
+def _sums(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(row, known, base, gain) of each text: tokens that training texts have, and log10 of the base's probability and of the
+    tree's over the base's."""
+    sieves = [sieve(tree.values.filter(F.col("kind") == k)) for k in (NEXT, STATE)] if tree.values is not None else []
+    shared = rows.sparkSession.sparkContext.broadcast((tree.vocabulary, _hot(tree), sieves))
     depth = tree.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, hot, value, bits = shared.value
-        for cut, keys, lengths in _slices(batches, vocabulary):
+        vocabulary, ((next_names, next_values), (state_names, state_values)), sieves = shared.value
+        smallest = np.log10(0.5 / vocabulary.zero)
+        base = np.append(np.log10((vocabulary.counts + 0.5) / vocabulary.zero), smallest)  # number -1 is the last one
+        for cut, numbers, keys, lengths in _slices(batches, vocabulary):
             row = np.repeat(np.arange(len(lengths)), lengths)
             gain, cold = np.zeros(len(lengths)), []
-            for d, there, context, gram in windows(keys, depth):
-                ok = np.flatnonzero(there) if d else np.empty(0, np.int64)
-                for names in (context ^ STATE, gram):
-                    ok = ok[passes(bits, names[ok])]
-                    at = find(hot, names[ok])
-                    gain += np.bincount(row[ok[at >= 0]], value[at[at >= 0]], len(gain))
-                    cold.append((row[ok[at < 0]], names[ok[at < 0]]))
+
+            def look_up(at: np.ndarray, names: np.ndarray, hot: np.ndarray, values: np.ndarray, sieve: np.ndarray, kind: int) -> np.ndarray:
+                """Add values of hot names, note those of others that may be in the tables, and tell which are either."""
+                place = find(hot, names[at])
+                is_hot = place >= 0
+                np.add(gain, np.bincount(row[at[is_hot]], values[place[is_hot]], len(gain)), out=gain)
+                maybe = ~is_hot
+                maybe[maybe] = passes(sieve, names[at[maybe]])
+                cold.append((row[at[maybe]], names[at[maybe]], np.full(int(maybe.sum()), kind)))
+                return at[is_hot | maybe]
+
+            rare = np.flatnonzero(numbers < 0)
+            cold.append((row[rare], keys[1 + rare], np.zeros(len(rare), np.int64)))
+            lower_state = None
+            for d, (there, context, gram, _) in enumerate(windows(keys, depth), 1):
+                at = np.flatnonzero(there if d < 3 else there & lower_state)
+                at = look_up(at, context, state_names, state_values, sieves[1], 1)
+                lower_state = np.zeros(len(there), bool)
+                lower_state[at] = True
+                look_up(at, gram, next_names, next_values, sieves[0], 0)
             number = cut.column("row").to_numpy()
-            of, names = (np.concatenate(x) for x in zip(*cold))
+            of, names, kind = (np.concatenate(x) for x in zip(*cold))
             order = np.lexsort((names, of))
-            of, names = of[order], names[order]
-            first = np.flatnonzero(np.diff(of, prepend=-1) | (np.diff(names, prepend=0) != 0))
-            times = np.diff(first, append=len(of))
+            of, names, kind = of[order], names[order], kind[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (names[1:] != names[:-1])])) if len(of) else np.empty(0, np.int64)
+            as_context = np.add.reduceat(kind, first) if len(first) else first
+            as_next = np.diff(first, append=len(of)) - as_context
+            none = np.zeros(len(number), np.int32)
+            sums = [np.bincount(row, numbers >= 0, len(number)).astype(np.int64), np.bincount(row, base[numbers], len(number)), gain]
+            blank = pa.nulls(len(first), pa.struct([("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (np.concatenate([number, number[of[first]]]), np.concatenate([mixed(number, ROW), names[first]]), np.concatenate([np.zeros(len(number), np.int64), times]), np.concatenate([gain, np.zeros(len(first))]))],
-                names=["row", "name", "times", "gain"],
+                [
+                    pa.array(np.concatenate([number, number[of[first]]])),
+                    pa.array(np.concatenate([mixed(number, ROW), names[first]])),
+                    pa.array(np.concatenate([none, as_next.astype(np.int32)])),
+                    pa.array(np.concatenate([none, as_context.astype(np.int32)])),
+                    pa.concat_arrays([pa.StructArray.from_arrays([pa.array(x) for x in sums], names=["known", "base", "gain"]), blank]),
+                ],
+                names=["row", "name", "as_next", "as_context", "sums"],
             )
 
-    met = rows.select("row", "n_tokens", "tokens", "keys", "places").mapInArrow(run, "row long, name long, times long, gain double")
-    cold = tree.values.filter(F.col("n") < HOT * tree.vocabulary.n).select("name", "value")
-    return met.join(cold, "name", "left").groupBy("row").agg(F.sum(F.col("gain") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("gain"))
+    met = rows.select("row", "n_tokens", "tokens", "rare").mapInArrow(run, "row long, name long, as_next int, as_context int, sums struct<known: long, base: double, gain: double>")
+    vocabulary = tree.vocabulary
+    # a rare token's value is what its count adds to that of a token without any
+    cold = tree.counts.select(F.col("key").alias("name"), F.lit(TOKEN).alias("kind"), F.log10((F.col("n") + 0.5) / 0.5).alias("value"))
+    if tree.values is not None:
+        cold = cold.unionByName(tree.values.filter(F.col("n") < HOT * vocabulary.n).select("name", "kind", "value"))
+    looked = met.join(cold.hint("shuffle_hash"), "name", "left")
+    zero = F.lit(0.0)
+    times = F.when(F.col("kind") == STATE, F.col("as_context")).otherwise(F.col("as_next"))
+    is_token = F.col("kind") == TOKEN
+    return looked.groupBy("row").agg(
+        (F.coalesce(F.sum("sums.known"), F.lit(0)) + F.sum(F.when(is_token, times).otherwise(0))).alias("known"),
+        (F.sum(F.coalesce("sums.base", zero) + F.when(is_token, times * F.col("value")).otherwise(zero))).alias("base"),
+        (F.sum(F.coalesce("sums.gain", zero) + F.when(F.col("kind") != TOKEN, times * F.col("value")).otherwise(zero))).alias("gain"),
+    )
 
 
 def score_encoded(rows: DataFrame, model: tuple[Tree, DataFrame], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    tree, counts = model
-    vocabulary = tree.vocabulary
-    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(vocabulary.zero)))).alias("rare_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
-    scored = rows.select(*keep, "row", "n_tokens", "n_known", "base")
-    scored = scored.join(_gains(rows, tree), "row", "left") if tree.values is not None else scored.withColumn("gain", F.lit(0.0))
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.join(rare, "row", "left").select(
-        *keep,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
-    )
+    tree = model[0]
+    added = {"n_tokens": F.col("n_tokens"), "n_known": F.col("known"), "train_tokens": F.lit(tree.vocabulary.n).cast("long"), "base_score": F.col("base"), "score": F.col("base") + F.col("gain")}
+    kept = [F.col(f"__keep_{c}").alias(c) for c in dict.fromkeys(keep) if c not in added]
+    mine = rows.select("row", "n_tokens", *(f"__keep_{c}" for c in dict.fromkeys(keep)))
+    return mine.join(_sums(rows, tree), "row").select(*kept, *(v.alias(k) for k, v in added.items()))
 
 
 def learn_and_score(docs: DataFrame, learn: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), frequent: float = FREQUENT, **shares) -> DataFrame:
     """Learn from the rows whose column ``learn`` is false and score all; texts are split into tokens and numbered once."""
     tree, counts = vocabulary(docs.filter(~F.col(learn)), text, frequent)
-    encoded = encode(docs, tree, text, tuple(dict.fromkeys([*keep, learn])))
-    return score_encoded(encoded, (fit(tree, encoded.filter(~F.col(learn)), **shares), counts), keep)
+    encoded = encode(docs, tree, text, (*keep, learn))
+    return score_encoded(encoded, (fit(tree, encoded.filter(~F.col(f"__keep_{learn}")), **shares), counts), keep)
 
 
 def split(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

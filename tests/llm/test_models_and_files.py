@@ -141,7 +141,7 @@ def test_suffix_tree_equals_a_plain_one(spark):
     def states(contexts, following, lower):
         out = {}
         for c, total in contexts.items():
-            kept = {k[-1]: x for k, x in following.items() if k[:-1] == c and x >= max(2, 0.002 * n)}
+            kept = {k[-1]: x for k, x in following.items() if k[:-1] == c and x >= max(suffix_tree_lm.LEAST_NEXT, 0.002 * n)}
             rest = total - sum(kept.values()) + prior
             whole = sum(kept.values()) + rest
             gain = sum(x * math.log((x + rest * lower(c, t)) / whole / lower(c, t)) for t, x in kept.items()) + (rest - prior) * math.log(rest / whole)
@@ -203,7 +203,7 @@ def plain_tree_scores(seqs, gain=10.0, prior=suffix_tree_lm.PRIOR, deepest=99):
         follow = {}
         for g, x in grams.items():
             c = g[:-1]
-            if len(c) == depth and x >= 2 and contexts[c] >= 4 and (depth < 3 or c[1:] in states):
+            if len(c) == depth and x >= suffix_tree_lm.LEAST_NEXT and contexts[c] >= suffix_tree_lm.LEAST_CONTEXT and (depth < 3 or c[1:] in states):
                 follow.setdefault(c, {})[g[-1]] = x
         found = {}
         for c, kept in follow.items():
