@@ -11,8 +11,8 @@ the training tokens; by default there are none, and the tree grows with the corp
 The tree is never gathered: states and next tokens are rows of written tables, named by 64-bit hashes of their tokens. A
 document's scores are sums of one value for each token, state and next token that it meets, so documents look the values up
 in one join. What is broadcast is bounded: at most 1 / ``frequent`` tokens, the values of states and next tokens that make up
-a ``HOT`` share of the training tokens (at most 2 / ``HOT`` a depth), and sieves of at most ``SIEVE`` bits that tell which names
-are in no table; a full sieve costs time and loses nothing. No key of the join of documents is frequent in what was learned.
+a ``HOT`` share of the training tokens (at most 2 / ``HOT`` a depth), and sieves of a bounded number of bits that tell which
+names are in no table; a full sieve costs time and loses nothing. No key of the join of documents is frequent in what was learned.
 
 Edge cases: a null or empty text is one end. A row with a null doc_id is learned from and isn't held out. Repeated rows are
 learned and scored each. Without training rows every token is unknown: N and V are 0. An empty table gives no rows. Other
@@ -30,17 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove, row_slices, written
+from .common import partitions, remove, row_slices, written
 from .labelled import held_out
-from .words import split_words
+from .sieves import Places, passes, sieve
+from .words import SLICE_CHARS, finished, key_of, word_keys
 
 FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 0.0, 0.0, 10.0, 5.0
-LEAST_CONTEXT, LEAST_NEXT, HOT, SIEVE = 4, 4, 1e-6, 1 << 28
+LEAST_CONTEXT, LEAST_NEXT, HOT = 4, 4, 1e-6
 #: Mixed into a row's number where it stands for the row's own sums.
 ROW = 0x14057B7EF767814F
 END = b""
+END_KEY = key_of(END)
 TOKEN, NEXT, STATE = 0, 1, 2
-OWN = "row long, n_tokens long, tokens array<int>, rare array<long>"
+OWN = "row long, n_tokens long, tokens binary, rare binary"
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -48,43 +50,30 @@ def tokens_of(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-def key_of(token: bytes) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh64_digest(token), "big", signed=True)
-
-
-def _token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of different tokens, which of them each token is, number of tokens of each text), an end behind each text."""
-    import xxhash
-
-    distinct, word, lengths = split_words(texts)
-    keys = np.frombuffer(b"".join(map(xxhash.xxh64_digest, distinct)), ">i8").astype(np.int64)
+def _token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the tokens' keys, number of tokens of each text), an end behind each text."""
+    words, lengths = word_keys(texts)
     lengths = lengths + 1
-    ends = np.cumsum(lengths) - 1
-    out = np.full(len(word) + len(lengths), len(keys), np.int64)
+    out = np.full(int(lengths.sum()), END_KEY, np.int64)
     inside = np.ones(len(out), bool)
-    inside[ends] = False
-    out[inside] = word
-    return np.append(keys, key_of(END)), out, lengths
+    inside[np.cumsum(lengths) - 1] = False
+    out[inside] = words
+    return out, lengths
 
 
-def count_tokens(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
-    """(key, n): how often each token occurs. A task adds up tokens until it has ``most`` different ones."""
+def count_tokens(docs: DataFrame, text: str = "text", most: int = 4_000_000) -> DataFrame:
+    """(key, n): how often each token occurs. A task adds up tokens once it has ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-        for cut in row_slices(batches, text):
-            keys, token, _ = _token_keys(cut.column(text))
-            held.append((keys, np.bincount(token, minlength=len(keys))))
-            size += len(keys)
-            if size > 4 * most:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], names=["key", "n"])
+
+        for cut in row_slices(batches, text, SLICE_CHARS):
+            held.append(_token_keys(cut.column(text))[0])
+            size += len(held[-1])
+            if size > most:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -93,19 +82,11 @@ def count_tokens(docs: DataFrame, text: str = "text", most: int = 400_000) -> Da
     return docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, -1 where absent."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
 class Vocabulary:
-    """Frequent tokens with their counts, and the numbers of all tokens and of different ones."""
+    """Frequent tokens with their counts, the commonest first, and the numbers of all tokens and of different ones."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int):
-        self.keys, self.counts, self.n, self.v = keys, counts, n, v
+        self.places, self.counts, self.n, self.v = Places(keys), counts, n, v
         self.zero = n + 0.5 * (v + 1)
 
 
@@ -119,15 +100,13 @@ class Tree:
 def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """The name of a context ``a`` with the next token, whose suffix with that token is ``b``."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+    return finished(x).view(np.int64)
 
 
 def windows(keys: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(whether there is such a context, its name, its name with the next token, its suffix's) of each token after the
     first, from depth 1 on. A context has an end only as its first token."""
-    end = keys[:-1] == key_of(END)
+    end = keys[:-1] == END_KEY
     there, lower = np.ones(len(end), bool), keys[1:]
     context = keys[:-1]
     for d in range(1, depth + 1):
@@ -139,29 +118,21 @@ def windows(keys: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarr
         lower = gram
 
 
-def sieve(names: DataFrame) -> np.ndarray:
-    """Two bits of each of the column ``name``'s values: eight to sixteen bits a row, and ``SIEVE`` at most."""
-    size = min(SIEVE, 1 << max(15, (8 * names.count()).bit_length()))
-    bits = F.array(*(F.shiftright("name", s).bitwiseAND(size - 1) + 1 for s in (0, 32)))  # Spark's buckets start with 1
-    bit = names.select(F.explode(bits).alias("bit"))
-    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
-    out = np.zeros((size >> 15, 4096), np.uint8)
-    for k, b in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
-        out[k - 1] = np.frombuffer(b, np.uint8)
-    return out.reshape(-1)
-
-
-def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Whether names may be in the sieve's table."""
-    out, mask = np.ones(len(names), bool), 8 * len(bits) - 1
-    for s in (0, 32):
-        at = (names >> s) & mask
-        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-    return out
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers in a column of binary values, one value after another."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and len(column) else np.empty(0, kind)
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A column of binary values, cut from an array of numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Cut batches of encoded texts: (rows, their tokens' numbers, and keys after an end, number of tokens of each row)."""
+    known = vocabulary.places.names if len(vocabulary.places.names) else np.zeros(1, np.int64)
     for batch in batches:
         ends = np.cumsum(batch.column("n_tokens").to_numpy())
         start = 0
@@ -169,35 +140,34 @@ def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: i
             before = ends[start - 1] if start else 0
             to = max(start + 1, int(np.searchsorted(ends, before + tokens, "right")))
             cut = batch.slice(start, to - start)
-            numbers = cut.column("tokens").flatten().to_numpy()
-            keys = np.empty(len(numbers) + 1, np.int64)
-            keys[0] = key_of(END)
-            if len(vocabulary.keys):
-                keys[1:] = vocabulary.keys[numbers]
-            keys[1 + np.flatnonzero(numbers < 0)] = cut.column("rare").flatten().to_numpy()
+            numbers = _values(cut.column("tokens"), "<i4")
+            keys = np.concatenate([[END_KEY], known[numbers]])
+            keys[1 + np.flatnonzero(numbers < 0)] = _values(cut.column("rare"), "<i8")
             yield cut, numbers, keys, np.diff(ends[start:to], prepend=before)
             start = to
 
 
 def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.ndarray, lowers: np.ndarray, least: float, most: int = 1_500_000) -> DataFrame:
     """A written table (name, context, lower, n): contexts of this depth with a next token, ``lower`` being the suffix with
-    that token, and how often they occur, at least ``least`` times. Left out are those that the sieves show to be too rare."""
-    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, contexts, lowers))
+    that token, and how often they occur, at least ``least`` times. Left out are those that the sieves show to be too rare.
+    Tasks add up what they have before the shuffle; behind it, sorted rows are added up as they come."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast((vocabulary, contexts, lowers))
+    names = ["context", "lower", "n"]
+
+    def added(context: np.ndarray, lower: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        """Sums of rows that stand beside each other."""
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (lower[1:] != lower[:-1])]))
+        return [context[first], lower[first], np.add.reduceat(n, first)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, contexts, lowers = shared.value
         held, size = [], 0
 
-        def counted(name: np.ndarray, context: np.ndarray, lower: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-            order = np.argsort(name)
-            name = name[order]
-            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
-            times = np.diff(first, append=len(name)) if n is None else np.add.reduceat(n[order], first) if len(first) else n
-            return name[first], context[order[first]], lower[order[first]], times
-
         def flush() -> pa.RecordBatch:
-            _, context, lower, n = counted(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(context), pa.array(lower), pa.array(n)], names=["context", "lower", "n"])
+            name, context, lower = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(name)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in added(context[order], lower[order], np.ones(len(order), np.int64))], names=names)
 
         for _, _, keys, _ in _slices(batches, vocabulary):
             for there, context, gram, lower in windows(keys, depth):
@@ -205,21 +175,36 @@ def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.
             ok = np.flatnonzero(there)
             ok = ok[passes(contexts, context[ok])]
             ok = ok[passes(lowers, lower[ok])]
-            held.append(counted(gram[ok], context[ok], lower[ok]))
-            size += len(held[-1][0])
-            if size > most:
+            if len(ok):
+                held.append((gram[ok], context[ok], lower[ok]))
+                size += len(ok)
+            if size > 2 * most:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = mixed(batch.column("context").to_numpy(), batch.column("lower").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(name), *batch.columns], names=["name", *batch.schema.names])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
 
-    counts = encoded.select("n_tokens", "tokens", "rare").mapInArrow(run, "context long, lower long, n long").groupBy("context", "lower").agg(F.sum("n").alias("n"))
-    out = written(counts.filter(F.col("n") >= least).mapInArrow(named, "name long, context long, lower long, n long"), "grams")
+        def kept(rows: list[np.ndarray]) -> pa.RecordBatch:
+            some = rows[2] >= least
+            context, lower, n = (x[some] for x in rows)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (mixed(context, lower), context, lower, n)], names=["name", *names])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in names]
+            rows = added(*rows if last is None else (np.concatenate(x) for x in zip(last, rows)))
+            last = [x[-1:] for x in rows]  # may go on in the next batch
+            yield kept([x[:-1] for x in rows])
+        if last is not None:
+            yield kept(last)
+
+    pairs = encoded.select("n_tokens", "tokens", "rare").mapInArrow(run, "context long, lower long, n long")
+    dealt = pairs.repartition(partitions(spark), "context", "lower").sortWithinPartitions("context", "lower")
+    out = written(dealt.mapInArrow(add, "name long, context long, lower long, n long"), "grams")
     shared.destroy()
     return out
 
@@ -228,14 +213,14 @@ def vocabulary(docs: DataFrame, text: str = "text", frequent: float = FREQUENT)
     """(a tree without states, counts): counts is a written table (key, n) of all the documents' tokens."""
     counts = written(count_tokens(docs, text), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table = counts.filter((F.col("n") >= frequent * n) | (F.col("key") == key_of(END))).toArrow()  # at most 1 / frequent rows
-    order = np.argsort(table.column("key").to_numpy())
+    table = counts.filter((F.col("n") >= frequent * n) | (F.col("key") == END_KEY)).toArrow()  # at most 1 / frequent rows
+    order = np.lexsort((table.column("key").to_numpy(), -table.column("n").to_numpy()))
     return Tree(Vocabulary(table.column("key").to_numpy()[order], table.column("n").to_numpy()[order].astype(np.float64), n, v), counts), counts
 
 
 def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A written table of the columns ``keep`` and, for each text: row (unique), n_tokens, tokens (numbers, -1 for rarer
-    ones) and rare, the keys of the rarer ones."""
+    ones) and rare, the keys of the rarer ones, both as little-endian binary values."""
     shared = docs.sparkSession.sparkContext.broadcast(tree.vocabulary)
     keep = [c for c in dict.fromkeys(keep)]
     inner = [f"__{k}" for k in range(len(keep))]  # own names, whatever the columns are called
@@ -245,20 +230,19 @@ def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, row = shared.value.keys, TaskContext.get().partitionId() << 40
-        for cut in row_slices(batches, "__text"):
-            keys, token, lengths = _token_keys(cut.column("__text"))
-            numbers = find(known, keys)[token]
+        known, row = shared.value.places, TaskContext.get().partitionId() << 40
+        for cut in row_slices(batches, "__text", SLICE_CHARS):
+            keys, lengths = _token_keys(cut.column("__text"))
+            numbers = known.find(keys)
             rare = numbers < 0
-            ends = np.cumsum(lengths)
-            of_rare = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], ends])]
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(cut.column(c) for c in inner),
                     pa.array(row + np.arange(cut.num_rows)),
                     pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(numbers.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(of_rare, pa.int32()), pa.array(keys[token[rare]])),
+                    _binary(numbers.astype("<i4"), bounds),
+                    _binary(keys[rare].astype("<i8"), np.concatenate([[0], np.cumsum(rare)])[bounds]),
                 ],
                 names=schema.names,
             )
@@ -328,16 +312,14 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame], text: str = "text", ke
     return score_encoded(encode(docs, model[0], text, keep), model, keep)
 
 
-def _hot(tree: Tree) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(sorted names, values) of next tokens and of states that are a ``HOT`` share of the training tokens."""
+def _hot(tree: Tree) -> list[tuple[Places, np.ndarray]]:
+    """(names, values) of next tokens and of states that are a ``HOT`` share of the training tokens."""
     if tree.values is None:
-        return [(np.empty(0, np.int64), np.empty(0))] * 2
+        return [(Places(np.empty(0, np.int64)), np.empty(0))] * 2
     table, out = tree.values.filter(F.col("n") >= HOT * tree.vocabulary.n).toArrow(), []  # at most 2 / HOT rows a depth
     for kind in (NEXT, STATE):
         mine = np.flatnonzero(table.column("kind").to_numpy() == kind)
-        name, value = (table.column(c).to_numpy()[mine] for c in ("name", "value"))
-        order = np.argsort(name)
-        out.append((name[order], value[order]))
+        out.append((Places(table.column("name").to_numpy()[mine]), table.column("value").to_numpy()[mine]))
     return out
 
 
@@ -356,15 +338,15 @@ def _sums(rows: DataFrame, tree: Tree) -> DataFrame:
             row = np.repeat(np.arange(len(lengths)), lengths)
             gain, cold = np.zeros(len(lengths)), []
 
-            def look_up(at: np.ndarray, names: np.ndarray, hot: np.ndarray, values: np.ndarray, sieve: np.ndarray, kind: int) -> np.ndarray:
+            def look_up(at: np.ndarray, names: np.ndarray, hot: Places, values: np.ndarray, sieve: np.ndarray, kind: int) -> np.ndarray:
                 """Add values of hot names, note those of others that may be in the tables, and tell which are either."""
-                place = find(hot, names[at])
+                at = at[passes(sieve, names[at])]
+                place = hot.find(names[at])
                 is_hot = place >= 0
                 np.add(gain, np.bincount(row[at[is_hot]], values[place[is_hot]], len(gain)), out=gain)
-                maybe = ~is_hot
-                maybe[maybe] = passes(sieve, names[at[maybe]])
-                cold.append((row[at[maybe]], names[at[maybe]], np.full(int(maybe.sum()), kind)))
-                return at[is_hot | maybe]
+                maybe = at[~is_hot]
+                cold.append((row[maybe], names[maybe], np.full(len(maybe), kind)))
+                return at
 
             rare = np.flatnonzero(numbers < 0)
             cold.append((row[rare], keys[1 + rare], np.zeros(len(rare), np.int64)))
