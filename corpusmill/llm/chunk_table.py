@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat(encoded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -14,11 +16,38 @@ def flat(encoded: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum())), lengths
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of runs, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def split_at_spaces(texts: pa.Array, odd: np.ndarray, split: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different chunks, which of them each chunk is, number of chunks of each text). Texts are cut at every space, by
+    Arrow's own functions, but for those marked ``odd``, which ``split`` cuts."""
+    parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    coded = parts.flatten().dictionary_encode()
+    distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.zeros(len(texts), np.int64)
+    counts[~odd] = parts.value_lengths().to_numpy(zero_copy_only=False)
+    if odd.any():
+        number = dict(zip(distinct, range(len(distinct))))
+        own = [split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        more = np.fromiter((number.setdefault(c, len(number)) for c in chain.from_iterable(own)), np.int64)
+        counts[odd] = np.fromiter(map(len, own), np.int64, len(own))
+        starts = np.empty(len(texts), np.int64)
+        for mine, first in ((~odd, 0), (odd, len(which))):
+            starts[mine] = first + np.cumsum(counts[mine]) - counts[mine]
+        which, distinct = np.concatenate([which, more])[runs(starts, counts)], list(number)
+    return distinct, which, counts
+
+
 class ChunkTable:
     """Encodes each distinct chunk once and joins the ids back by the chunks' positions.
 
-    ``encode_many`` maps distinct chunks to the chunks in any order, their ids after another and how many each has. The table holds at most about ``max_chunks`` chunks: when
-    it is full it starts afresh, so that memory stays bounded and the ids stay the same.
+    ``encode_many`` maps distinct chunks to the chunks in any order, their ids after another and how many each has. The table
+    holds at most about ``max_chunks`` chunks: when it is full it starts afresh, so that memory stays bounded and the ids stay
+    the same.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], max_chunks: int = 200_000):
@@ -46,22 +75,20 @@ class ChunkTable:
         self.used += len(ids)
         self.at.update(zip(chunks, range(first, first + n)))
 
-    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of texts given as chunks: all their ids after another, and the number of ids of each text."""
-        chunks = list(chain.from_iterable(texts))
-        index = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missed = np.flatnonzero(index < 0)
+    def encode(self, distinct: list[str], which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts given as chunks, of which ``which`` names each of the ``distinct`` ones and ``counts`` says how many each
+        text has: all their ids after another, and the number of ids of each text."""
+        place = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missed = np.flatnonzero(place < 0)
         if len(missed):
-            words = [chunks[k] for k in missed.tolist()]
-            new = list(dict.fromkeys(words))
-            if self.at and len(self.at) + len(new) > self.max_chunks:
+            if self.at and len(self.at) + len(missed) > self.max_chunks:
                 self._clear()
-                return self.encode(texts)
+                missed = np.arange(len(distinct))
+            new = [distinct[k] for k in missed.tolist()]
             self._add(new)
-            index[missed] = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[index] - ends + lengths, lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, texts)])]
-        return ids, np.diff(bounds)
+            place[missed] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        at = place[which]
+        lengths = self.lengths[at]
+        ids = self.ids[runs(self.starts[at], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunk_table import ChunkTable, flat
-from .common import text_slices
+from .chunk_table import ChunkTable, flat, split_at_spaces
+from .common import row_slices
 
 MARK = "▁"
 
@@ -27,12 +28,14 @@ MARK = "▁"
 def chunk_text(text: str) -> list[str]:
     """The marked words of a text, each without its first mark. The library puts a mark before the text, so that encoding
     a chunk alone gives it that mark back."""
-    text = text.replace(MARK, " ")
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or text[-1] == " ":
-        return [c[1:] for c in re.findall(" +[^ ]*", f" {text}")]
-    return text.split(" ")
+    return [c[1:] for c in re.findall(" +[^ ]*", f" {text.replace(MARK, ' ')}")] if text else []
+
+
+def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The marked words of many texts, as ChunkTable.encode() takes them."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+    odd = pc.or_(pc.match_substring_regex(texts, "^( |$)| $"), pc.match_substring(texts, "  "))
+    return split_at_spaces(texts, odd.to_numpy(zero_copy_only=False), chunk_text)
 
 
 def splits_at_marks(processor) -> bool:
@@ -58,15 +61,17 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         processor = _load(model)
         lone = [processor.piece_to_id(MARK)]
         by_chunk = splits_at_marks(processor)
-        split = chunk_text if by_chunk else lambda t: [t] if t else []
+
+        def whole(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+            return split_at_spaces(pc.fill_null(texts, ""), np.ones(len(texts), bool), lambda t: [t] if t else [])
 
         def encode_many(chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
             out = processor.encode(chunks, num_threads=1)
             return chunks, *flat([lone if not c else i for c, i in zip(chunks, out)])  # '' stands for a mark at the end of a text
 
         table = ChunkTable(encode_many, max_chunks if by_chunk else 1)
-        for cut, texts in text_slices(batches, text):
-            values, lengths = table.encode([split(t) for t in texts])
+        for cut in row_slices(batches, text):
+            values, lengths = table.encode(*(chunks_of if by_chunk else whole)(cut.column(text)))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], names=[*keep, ids])
 

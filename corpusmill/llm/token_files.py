@@ -22,15 +22,16 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_table import ChunkTable, flat
-from .common import checkpoint, partitions, scratch, text_slices
+from .chunk_table import ChunkTable, flat, split_at_spaces
+from .common import checkpoint, partitions, row_slices, scratch
 from .files import new_file, open_input
 
 END_ID, LEVEL = 0, 3
@@ -40,8 +41,8 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY = struct.Struct("<III")
 #: A space that a word follows starts a pre-token of a byte-level vocabulary, whatever stands before it.
 _WORD_SPACE = re.compile(r" (?=\S)")
-_ODD_SPACES = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
-
+#: White space behind a space: there the rule of the plain cut, at every space, doesn't hold.
+_ODD_SPACE = "^( |$)| $| [" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "]"
 
 #: Marks a text's first chunk, which has no space before it; the others are named without theirs.
 FIRST = "\0"
@@ -50,16 +51,23 @@ FIRST = "\0"
 def chunk_text(text: str) -> list[str]:
     """Pieces of a text that a byte-level vocabulary with the usual pre-token pattern encodes independently: each but the
     first starts with the space before a word, which its name leaves out."""
-    if not text:
-        return []
-    if FIRST in text:
-        return [FIRST + text]
-    if text[0] == " " or text[-1] == " " or any(x in text for x in _ODD_SPACES):
-        cuts = [m.start() for m in _WORD_SPACE.finditer(text) if m.start()]
-        return [FIRST + text[: cuts[0] if cuts else len(text)], *(text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)]))]
-    chunks = text.split(" ")
-    chunks[0] = FIRST + chunks[0]
-    return chunks
+    if FIRST in text or not text:
+        return [text] if text else []
+    cuts = [m.start() for m in _WORD_SPACE.finditer(text) if m.start()]
+    return [text[: cuts[0] if cuts else len(text)], *(text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)]))]
+
+
+def chunks_of(texts: pa.Array, whole: Sequence[str] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The pieces of many texts, as ChunkTable.encode() takes them. Texts that hold any of ``whole`` are one piece each."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.match_substring_regex(texts, _ODD_SPACE), pc.match_substring(texts, FIRST)).to_numpy(zero_copy_only=False)
+    for w in whole:
+        odd = odd | pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
+    distinct, which, counts = split_at_spaces(texts, odd, lambda t: [t] if any(w in t for w in whole) else chunk_text(t))
+    firsts = (np.cumsum(counts) - counts)[counts > 0]
+    named, at = np.unique(which[firsts], return_inverse=True)
+    which[firsts] = len(distinct) + at
+    return distinct + [FIRST + distinct[k] for k in named.tolist()], which, counts
 
 
 #: Marks that may stand behind a letter run as a pre-token of their own.
@@ -81,7 +89,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.letters, self.marks = self.library.model, _byte_letters(), {}
         probe = ["don", "\u00e9t\u00e9,", "a)", "Wort-"]  # a vocabulary of another kind takes the whole way
         self.direct = self._plain(probe) == self._whole(probe)
@@ -216,14 +224,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str =
         table = _table(tokenizer, max_chunks)
         part = TaskContext.get().partitionId()
         writer = None
-        slices = text_slices(batches, "text")
+        added, slices = table.encode_many.added, row_slices(batches, "text")
         first = next(slices, None)
         if first is None:
             return
         with new_file(folder, f"part-{part:06d}", ".ids.zst") as (path, stream):
             writer = FrameWriter(stream, level)
-            for cut, texts in (x for xs in ((first,), slices) for x in xs):
-                ids, lengths = table.encode([chunk_text(t) for t in texts])
+            for cut in (x for xs in ((first,), slices) for x in xs):
+                ids, lengths = table.encode(*chunks_of(cut.column("text"), added))
                 ends = np.cumsum(lengths)
                 for i, a, b in zip(cut.column("doc").to_pylist(), ends - lengths, ends):
                     own = ids[a:b]

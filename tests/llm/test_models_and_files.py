@@ -29,7 +29,6 @@ def test_token_files_equal_the_library(spark, odd, sf_dir):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     out = token_files.token_round_trip(odd, path, max_chunks=5, files=4).orderBy("start").collect()
     assert [r.doc_id for r in out] == [None, 0, 1, 2, 3, 3, *range(4, len(ODD))]
     start = 0
