@@ -5,8 +5,8 @@ A-Z and are runs of ASCII letters, digits and all characters beyond ASCII. Windo
 each hit is verified on the words themselves, and every document word inside an occurrence is hit.
 
 The set goes to the tasks in blocks of at most ``block_windows`` windows. A benchmark of one block takes one pass over the
-documents; a larger one takes a pass for each block, whose hits are then put together by row, so that what is broadcast
-stays bounded and no window is left out.
+documents; a larger one takes a pass for each block. Only the rows with hits leave those passes; they are put together by
+row and joined to the documents once, so that what is broadcast stays bounded and no window is left out.
 
 Edge cases: null and empty texts have no words, are never contaminated and match nothing; repeated documents and items are
 kept row by row, items that share an id count once; empty tables give no rows or no hits. Columns besides the named ones
@@ -15,11 +15,13 @@ are carried through unread; results of removal keep all columns of the documents
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ WIDTH = 13
 BLOCK_WINDOWS = 500_000
 #: Every ASCII byte that isn't part of a word becomes a space, A-Z become a-z.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,67 +116,73 @@ def _spans(cover: np.ndarray) -> list[dict[str, int]]:
 
 
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<first: int, last: int>>"
+_SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _scan_block(docs: DataFrame, block: dict[str, list[str]], text: str, keep: list[str]) -> DataFrame:
+def _scan_block(docs: DataFrame, block: dict[str, list[str]], text: str, keep: list[str], hits_only: bool = False) -> DataFrame:
+    """The columns ``keep`` and HITS of every row, or of those with hits."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(HITS).fields])
-    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = WindowSet(shared.value)
         for cut, texts in text_slices(batches, text):
             words = [words_of(t) for t in texts]
             found = windows.scan(words)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     *(cut.column(c) for c in keep),
                     pa.array(map(len, words), pa.int64()),
                     pa.array([0 if x is None else int((x[0] > 0).sum()) for x in found], pa.int64()),
                     pa.array([[] if x is None else sorted(x[1]) for x in found], pa.list_(pa.string())),
-                    pa.array([[] if x is None else _spans(x[0]) for x in found], span),
+                    pa.array([[] if x is None else _spans(x[0]) for x in found], _SPAN),
                 ],
                 names=[*keep, "n_words", "n_hit", "items", "spans"],
             )
+            yield out.filter(pa.array([x is not None for x in found])) if hits_only else out
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns ``keep``, n_words, n_hit (words inside occurrences), items (sorted ids) and spans (word positions)."""
-    found = benchmark_windows(benchmark, item, item_text, width)
-    keep = list(dict.fromkeys(keep))
-    docs = docs.select(*dict.fromkeys([*keep, text]))
-    found = found.persist()
-    n = found.count()
-    blocks = max(1, -(-n // block_windows))
-    if blocks == 1:
-        out = _scan_block(docs, {r.window: list(r["items"]) for r in found.toLocalIterator()}, text, keep)
-        found.unpersist()
-        return out
-    found = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontamination")
-    parts = [
-        _scan_block(marked, {r.window: list(r["items"]) for r in found.filter(F.col("block") == b).toLocalIterator()}, text, [*keep, "__row"])
-        for b in range(blocks)
-    ]
-    merged = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(
-        *(F.first(c).alias(c) for c in keep),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    empty = F.array().cast("array<struct<first: int, last: int>>")
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """(__row, items, spans) of rows that several blocks hit: overlapping and adjoining spans become one."""
+    rows = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.flatten(F.collect_list("items")).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     joined = F.aggregate(
         "spans",
-        empty,
+        F.array().cast("array<struct<first: int, last: int>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] + 1 >= s["first"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
+    return rows.select("__row", F.array_sort(F.array_distinct("items")).alias("items"), joined.alias("spans"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns ``keep``, n_words, n_hit (words inside occurrences), items (sorted ids) and spans (word positions). Kept
+    columns of these names give way to them."""
+    found = written(benchmark_windows(benchmark, item, item_text, width), "benchmark-windows")
+    keep = [c for c in dict.fromkeys(keep) if c not in ("n_words", "n_hit", "items", "spans")]
+    if text not in keep and text in ("n_words", "n_hit", "items", "spans"):
+        docs, text = docs.withColumnRenamed(text, "__text"), "__text"
+    blocks = max(1, -(-found.count() // block_windows))
+    if blocks == 1:
+        return _scan_block(docs, {r.window: list(r["items"]) for r in found.toLocalIterator()}, text, keep)
+    found = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    marked = written(docs.select(*dict.fromkeys([*keep, text])).withColumn("__row", F.monotonically_increasing_id()), "decontamination")
+    # a block at a time is read on the driver and sent; rows without hits don't leave their task
+    parts = [
+        _scan_block(marked, {r.window: list(r["items"]) for r in found.filter(F.col("block") == b).toLocalIterator()}, text, ["__row"], hits_only=True).select("__row", "items", "spans")
+        for b in range(blocks)
+    ]
+    merged = _merged(parts)
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.regexp_count(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    return merged.withColumn("spans", joined).select(*keep, "n_words", n_hit.alias("n_hit"), "items", "spans")
+    rows = marked.select(*keep, n_words.alias("n_words"), "__row").join(merged, "__row", "left")
+    empty = {"items": "array<string>", "spans": "array<struct<first: int, last: int>>"}
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()})
+    return rows.select(*keep, "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def is_contaminated(n_hit: Column | str = "n_hit", n_words: Column | str = "n_words") -> Column:
@@ -182,8 +191,39 @@ def is_contaminated(n_hit: Column | str = "n_hit", n_words: Column | str = "n_wo
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def _with_hits(docs: DataFrame, benchmark: DataFrame, text: str, options: dict) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with their hits, each column under a name of its own, and those names' columns."""
+    own = {f"__{k}": c for k, c in enumerate(docs.columns)}
+    named = docs.withColumnsRenamed({c: k for k, c in own.items()})
+    name = next(k for k, c in own.items() if c == text)
+    return contamination(named, benchmark, name, keep=tuple(own), **options), own
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, but for the contaminated ones."""
-    packed = docs.select(F.struct("*").alias("__document"), F.col(text).alias("__text"))
-    scored = contamination(packed, benchmark, "__text", keep=("__document",), **options)
-    return scored.filter(~is_contaminated()).select("__document.*")
+    scored, own = _with_hits(docs, benchmark, text, options)
+    return scored.filter(~is_contaminated()).select(*(F.col(k).alias(c) for k, c in own.items()))
+
+
+def without_spans(text: str, spans: list[dict[str, int]]) -> str:
+    """A text without the words of the spans and what stands between them."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, end = [], 0
+    for s in spans:
+        out.append(text[end : at[s["first"]][0]])
+        end = at[s["last"]][1]
+    return "".join([*out, text[end:]])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """All documents and columns, the texts without the words inside occurrences of benchmark windows. A text that has none
+    stays as it is, null too."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without_spans(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+    scored, own = _with_hits(docs, benchmark, text, options)
+    name = next(k for k, c in own.items() if c == text)
+    shorter = cut(F.when(F.col("n_hit") > 0, F.col(name)), F.col("spans"))
+    return scored.withColumn(name, F.coalesce(shorter, F.col(name))).select(*(F.col(k).alias(c) for k, c in own.items()))
