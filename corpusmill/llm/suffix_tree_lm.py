@@ -1,12 +1,14 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A text's tokens are its words and one end. A context is the last token, the last two, or more. It is a state of the tree if it
-occurs at least ``LEAST_CONTEXT`` times and its next-token distribution diverges from its suffix's by at least ``min_gain``
+occurs often enough and its next-token distribution diverges from its suffix's by at least ``min_gain``
 nats in all; contexts of more than two tokens are states only where their suffix is one, and depth goes on while there are
-states. A state keeps the counts of next tokens that follow it at least ``LEAST_NEXT`` times; the rest of its mass, and a
-prior, goes to its suffix's distribution, down to the token's own smoothed frequency. So every distribution sums to one, and
-each token is scored by the longest suffix that is a state. ``min_context`` and ``min_next`` are further floors, as shares of
-the training tokens; by default there are none, and the tree grows with the corpus.
+states. A state keeps the counts of next tokens that follow it often enough; the rest of its mass, and a prior, goes to its
+suffix's distribution, down to the token's own smoothed frequency. So every distribution sums to one, and each token is scored
+by the longest suffix that is a state. Often enough is ``LEAST_CONTEXT`` and ``LEAST_NEXT`` times, and at least ``ROOT`` times
+the square root of the number of training tokens: a context of any frequency is counted once the corpus is large enough, so
+the tree grows with the corpus without end, but slower than the corpus. ``min_context`` and ``min_next`` are further floors,
+as shares of the training tokens; by default there are none.
 
 The tree is never gathered: states and next tokens are rows of written tables, named by 64-bit hashes of their tokens. A
 document's scores are sums of one value for each token, state and next token that it meets, so documents look the values up
@@ -36,7 +38,7 @@ from .sieves import Places, passes, sieve
 from .words import SLICE_CHARS, finished, key_of, word_keys
 
 FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 0.0, 0.0, 10.0, 5.0
-LEAST_CONTEXT, LEAST_NEXT, HOT = 4, 4, 1e-6
+LEAST_CONTEXT, LEAST_NEXT, ROOT, HOT = 4, 4, 1e-3, 1e-6
 #: Mixed into a row's number where it stands for the row's own sums.
 ROW = 0x14057B7EF767814F
 END = b""
@@ -203,7 +205,8 @@ def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.
             yield kept(last)
 
     pairs = encoded.select("n_tokens", "tokens", "rare").mapInArrow(run, "context long, lower long, n long")
-    dealt = pairs.repartition(partitions(spark), "context", "lower").sortWithinPartitions("context", "lower")
+    # one long as the key: such rows are sorted by their bits, without comparisons
+    dealt = pairs.repartition(partitions(spark), "context", "lower").sortWithinPartitions(F.xxhash64("context", "lower"))
     out = written(dealt.mapInArrow(add, "name long, context long, lower long, n long"), "grams")
     shared.destroy()
     return out
@@ -249,7 +252,7 @@ def encode(docs: DataFrame, tree: Tree, text: str = "text", keep: tuple[str, ...
             row += cut.num_rows
 
     named = docs.select(*(F.col(c).alias(i) for i, c in zip(inner, keep)), F.col(text).alias("__text"))
-    return written(named.mapInArrow(run, schema), "encoded").withColumnsRenamed({f"__{k}": f"__keep_{c}" for k, c in enumerate(keep)})
+    return written(named.mapInArrow(run, schema), "encoded", "zstd").withColumnsRenamed({f"__{k}": f"__keep_{c}" for k, c in enumerate(keep)})
 
 
 def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_next: float = MIN_NEXT, min_gain: float = MIN_GAIN) -> Tree:
@@ -257,7 +260,7 @@ def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_ne
     n = tree.vocabulary.n
     if not n:
         return tree
-    least_context, least_next = max(LEAST_CONTEXT, min_context * n), max(LEAST_NEXT, min_next * n)
+    least_context, least_next = max(LEAST_CONTEXT, ROOT * n**0.5, min_context * n), max(LEAST_NEXT, ROOT * n**0.5, min_next * n)
     least = min(least_context, least_next)
     level = tree.counts.select(F.col("key").alias("name"), F.lit(0).cast("long").alias("lower"), "n", ((F.col("n") + 0.5) / F.lit(float(tree.vocabulary.zero))).alias("p"))
     states, values = None, []
