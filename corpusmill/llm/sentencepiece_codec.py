@@ -19,23 +19,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunk_table import ChunkTable, flat, split_at_spaces
+from .chunk_table import ChunkTable, chunk_bounds, flat
 from .common import row_slices
+from .words import SLICE_CHARS, text_bytes
 
 MARK = "▁"
 
 
-def chunk_text(text: str) -> list[str]:
-    """The marked words of a text, each without its first mark. The library puts a mark before the text, so that encoding
-    a chunk alone gives it that mark back."""
-    return [c[1:] for c in re.findall(" +[^ ]*", f" {text.replace(MARK, ' ')}")] if text else []
-
-
-def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The marked words of many texts, as ChunkTable.encode() takes them."""
-    texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
-    odd = pc.or_(pc.match_substring_regex(texts, "^( |$)| $"), pc.match_substring(texts, "  "))
-    return split_at_spaces(texts, odd.to_numpy(zero_copy_only=False), chunk_text)
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The marked words of many texts, each without its first mark, as ChunkTable.encode() takes them. The library puts a
+    mark before a text, so that encoding a chunk alone gives it that mark back. Of marks in a row the first parts words."""
+    data, bounds = text_bytes(pc.replace_substring(pc.fill_null(texts, ""), MARK, " "))
+    space = data == 32
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[bounds[:-1][bounds[1:] > bounds[:-1]]] = False
+    return data, *chunk_bounds(bounds, np.flatnonzero(cut))
 
 
 def splits_at_marks(processor) -> bool:
@@ -62,15 +61,17 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         lone = [processor.piece_to_id(MARK)]
         by_chunk = splits_at_marks(processor)
 
-        def whole(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-            return split_at_spaces(pc.fill_null(texts, ""), np.ones(len(texts), bool), lambda t: [t] if t else [])
-
-        def encode_many(chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        def encode_many(chunks: pa.Array, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            chunks = chunks.to_pylist()
             out = processor.encode(chunks, num_threads=1)
-            return chunks, *flat([lone if not c else i for c, i in zip(chunks, out)])  # '' stands for a mark at the end of a text
+            return flat([lone if not c else i for c, i in zip(chunks, out)])  # '' stands for a mark at the end of a text
+
+        def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            data, bounds = text_bytes(texts)
+            return data, *chunk_bounds(bounds, np.empty(0, np.int64))
 
         table = ChunkTable(encode_many, max_chunks if by_chunk else 1)
-        for cut in row_slices(batches, text):
+        for cut in row_slices(batches, text, SLICE_CHARS):
             values, lengths = table.encode(*(chunks_of if by_chunk else whole)(cut.column(text)))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], names=[*keep, ids])

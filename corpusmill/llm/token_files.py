@@ -20,7 +20,6 @@ table makes no file. Other columns aren't read.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -30,50 +29,50 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_table import ChunkTable, flat, split_at_spaces
+from .chunk_table import ChunkTable, chunk_bounds, flat, runs, strings
 from .common import checkpoint, partitions, row_slices, scratch
 from .files import new_file, open_input
+from .words import SLICE_CHARS, text_bytes
 
 END_ID, LEVEL = 0, 3
 NO_ID = -(1 << 63)
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY = struct.Struct("<III")
-#: A space that a word follows starts a pre-token of a byte-level vocabulary, whatever stands before it.
-_WORD_SPACE = re.compile(r" (?=\S)")
-#: White space behind a space: there the rule of the plain cut, at every space, doesn't hold.
-_ODD_SPACE = "^( |$)| $| [" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "]"
+#: White space beyond ASCII behind a space: such texts take the whole way.
+_FAR_SPACE = " [" + "".join(chr(c) for c in range(128, 0x3001) if chr(c).isspace()) + "]"
+#: Bytes before which no text is cut at a space.
+_NO_CUT = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 
-#: Marks a text's first chunk, which has no space before it; the others are named without theirs.
-FIRST = "\0"
 
-
-def chunk_text(text: str) -> list[str]:
-    """Pieces of a text that a byte-level vocabulary with the usual pre-token pattern encodes independently: each but the
-    first starts with the space before a word, which its name leaves out."""
-    if FIRST in text or not text:
-        return [text] if text else []
-    cuts = [m.start() for m in _WORD_SPACE.finditer(text) if m.start()]
-    return [text[: cuts[0] if cuts else len(text)], *(text[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(text)]))]
-
-
-def chunks_of(texts: pa.Array, whole: Sequence[str] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The pieces of many texts, as ChunkTable.encode() takes them. Texts that hold any of ``whole`` are one piece each."""
+def chunks_of(texts: pa.Array, whole: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of many texts that a byte-level vocabulary with the usual pre-token pattern encodes independently, as
+    ChunkTable.encode() takes them: each but a text's first starts with the space before a word, which is left out here: such a
+    space starts a pre-token, whatever stands before it. Texts that hold any of ``whole`` are one piece each."""
     texts = pc.fill_null(texts, "")
-    odd = pc.or_(pc.match_substring_regex(texts, _ODD_SPACE), pc.match_substring(texts, FIRST)).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, _FAR_SPACE).to_numpy(zero_copy_only=False)
     for w in whole:
         odd = odd | pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
-    distinct, which, counts = split_at_spaces(texts, odd, lambda t: [t] if any(w in t for w in whole) else chunk_text(t))
-    firsts = (np.cumsum(counts) - counts)[counts > 0]
-    named, at = np.unique(which[firsts], return_inverse=True)
-    which[firsts] = len(distinct) + at
-    return distinct + [FIRST + distinct[k] for k in named.tolist()], which, counts
+    data, bounds = text_bytes(texts)
+    cut = data == 32
+    cut[:-1] &= ~_NO_CUT[data[1:]]
+    full = bounds[1:] > bounds[:-1]
+    cut[bounds[:-1][full]] = False
+    cut[bounds[1:][full] - 1] = False
+    cuts = np.flatnonzero(cut)
+    if odd.any():
+        cuts = cuts[~odd[np.searchsorted(bounds, cuts, "right") - 1]]
+    return data, *chunk_bounds(bounds, cuts)
 
 
 #: Marks that may stand behind a letter run as a pre-token of their own.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
+#: The letter that stands for a space.
+_SPACE_LETTER = "\u0120"
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters by which a byte-level vocabulary names bytes: printable ones stand for themselves, others follow."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,50 +81,72 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """Encodes chunks with the library. A letter run after a space, and the marks behind it, are pre-tokens: they go to the
-    library's model at once, which saves the bookkeeping of its pre-tokenizer; other chunks take the whole way."""
+    """Encodes chunks with the library. A letter run behind a space, and the marks behind it, are pre-tokens: runs go to a
+    tokenizer of the same model that parts them at spaces alone, which saves the bookkeeping of the library's pattern; other
+    chunks take the whole way."""
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(tokenizer)
+        self.library, self.plain = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.plain.encode_special_tokens = True  # it sees words alone
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.model, self.letters, self.marks = self.library.model, _byte_letters(), {}
-        probe = ["don", "\u00e9t\u00e9,", "a)", "Wort-"]  # a vocabulary of another kind takes the whole way
-        self.direct = self._plain(probe) == self._whole(probe)
-
-    def _whole(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([c[1:] if c[0] == FIRST else f" {c}" for c in chunks], add_special_tokens=False)]
-
-    def _plain(self, chunks: list[str]) -> list[list[int] | None]:
-        """The ids of letter runs, Latin ones, with any marks behind them; None for other chunks."""
-        out: list[list[int] | None] = []
-        tokenize, marks, letters = self.model.tokenize, self.marks, self.letters
-        for c in chunks:
-            word = c.rstrip(_MARKS)
-            if not word.isalpha():
-                out.append(None)
-                continue
-            if word.isascii():
-                ids = [t.id for t in tokenize("\u0120" + word)]
-            elif max(word) < "\u0250":
-                ids = [t.id for t in tokenize("\u0120" + word.encode().decode("latin-1").translate(letters))]
-            else:
-                out.append(None)
-                continue
-            if tail := c[len(word) :]:
-                if tail not in marks:
-                    marks[tail] = [t.id for t in tokenize(tail)]
-                ids += marks[tail]
-            out.append(ids)
-        return out
-
-    def __call__(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        found = self._plain(chunks) if self.direct else [None] * len(chunks)
-        if others := [k for k, ids in enumerate(found) if ids is None]:
-            for k, ids in zip(others, self._whole([chunks[k] for k in others])):
-                found[k] = ids
-        return chunks, *flat(found)
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for piece, k in vocabulary.items():
+            self.begins[k] = piece[:1] == _SPACE_LETTER
+        self.letters, self.marks = _byte_letters(), {}
+        probe, none = pa.array(["don", "\u00e9t\u00e9,", "a)", "Wort-", "x--", "\u00ffz"], pa.large_string()), np.zeros(6, bool)
+        self.direct = False
+        want = [x.tolist() for x in self(probe, none)]
+        self.direct = True  # a vocabulary of another kind takes the whole way
+        self.direct = [x.tolist() for x in self(probe, none)] == want
+
+    def _whole(self, chunks: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return flat([e.ids for e in self.library.encode_batch_fast([c if f else f" {c}" for c, f in zip(chunks, first)], add_special_tokens=False)])
+
+    def _words(self, words: pa.Array, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of letter runs behind a space, and how many each has."""
+        ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).tolist()
+        named = [w if a else w.encode().decode("latin-1").translate(self.letters) for w, a in zip(words.to_pylist(), ascii_only)]
+        blocks = [" ".join(_SPACE_LETTER + w for w in named[k : k + block]) for k in range(0, len(named), block)]
+        out = self.plain.encode_batch_fast(blocks, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in out]) if out else np.empty(0, np.int32)
+        return ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+
+    def __call__(self, chunks: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one chunk's after another, and how many each has."""
+        word = pc.utf8_rtrim(chunks, _MARKS)
+        plain = np.zeros(len(chunks), bool)
+        if self.direct:
+            plain = pc.and_(pc.utf8_is_alpha(word), pc.match_substring_regex(word, r"^[\x00-\x{24F}]+$")).to_numpy(zero_copy_only=False) & ~first
+        begin, length = np.zeros((len(chunks), 2), np.int64), np.zeros((len(chunks), 2), np.int64)  # of a word's ids and its marks'
+        ids = np.empty(0, np.int32)
+        if plain.any():
+            mine = pa.array(plain)
+            coded = word.filter(mine).dictionary_encode()
+            ids, lengths = self._words(coded.dictionary)
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            begin[plain, 0], length[plain, 0] = (np.cumsum(lengths) - lengths)[at], lengths[at]
+            data, bounds = text_bytes(chunks.filter(mine))
+            size = np.diff(text_bytes(word.filter(mine))[1])
+            tails = strings(data, bounds[:-1] + size, np.diff(bounds) - size).dictionary_encode()
+            some = tails.dictionary.to_pylist()
+            if len(self.marks) > 100_000:
+                self.marks.clear()
+            for t in some:
+                if t not in self.marks:
+                    self.marks[t] = [x.id for x in self.library.model.tokenize(t)] if t else []
+            more, lengths = flat([self.marks[t] for t in some])
+            at = tails.indices.to_numpy(zero_copy_only=False)
+            begin[plain, 1], length[plain, 1] = len(ids) + (np.cumsum(lengths) - lengths)[at], lengths[at]
+            ids = np.concatenate([ids, more])
+        if not plain.all():
+            more, lengths = self._whole(chunks.filter(pa.array(~plain)).to_pylist(), first[~plain])
+            begin[~plain, 0], length[~plain, 0] = len(ids) + np.cumsum(lengths) - lengths, lengths
+            ids = np.concatenate([ids, more])
+        return ids[runs(begin.ravel(), length.ravel())], length.sum(1)
 
 
 #: A worker's tables, which stay for its later tasks.
@@ -224,14 +245,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, text: str =
         table = _table(tokenizer, max_chunks)
         part = TaskContext.get().partitionId()
         writer = None
-        added, slices = table.encode_many.added, row_slices(batches, "text")
+        added, slices = table.encode_many.added, row_slices(batches, "text", SLICE_CHARS)
         first = next(slices, None)
         if first is None:
             return
         with new_file(folder, f"part-{part:06d}", ".ids.zst") as (path, stream):
             writer = FrameWriter(stream, level)
             for cut in (x for xs in ((first,), slices) for x in xs):
-                ids, lengths = table.encode(*chunks_of(cut.column("text"), added))
+                ids, lengths = table.encode(*chunks_of(cut.column("text"), added), first=True)
                 ends = np.cumsum(lengths)
                 for i, a, b in zip(cut.column("doc").to_pylist(), ends - lengths, ends):
                     own = ids[a:b]
