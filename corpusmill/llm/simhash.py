@@ -5,7 +5,8 @@ such vectors is a lower bound of the Hamming distance. The segments form ``max_d
 within the distance, one block at least lies within Manhattan distance 1 (or 0, for three differing bits of four blocks).
 The blocks are the grids of a range join: each fingerprint is a member of its own cell in each grid and looks into the
 cells one step up; the pairs of a cell are compared by the whole bound and then exactly. Each cell gives only the edges of a
-spanning forest, whose components are those of all links.
+spanning forest, whose components are those of all links. Cells of many members are cut into chunks, so that a large family
+of near copies is spread over tasks, and lookers are taken in batches.
 
 Copies cost nothing here: the join sees each fingerprint once, whatever number of documents has it.
 
@@ -30,6 +31,10 @@ from .components import connected_components
 SHINGLE, SEED, MAX_DISTANCE, SEGMENT = 4, 42, 4, 2
 #: Candidate pairs that are compared at once.
 PAIRS_AT_ONCE = 2_000_000
+#: Members of a cell that one task compares with the cell's lookers, and rows of a cell that it holds, at most about.
+CHUNK, ROWS_AT_ONCE = 2_048, 200_000
+#: Cells cut into chunks whose number goes to every task at once, at most; more of them are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def _fingerprint(text: str, shingle: int, seed: int) -> int:
@@ -85,6 +90,19 @@ def grid_cells(bits: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.n
     return np.concatenate(cells), np.concatenate(at), np.concatenate(looks)
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``n`` numbers reaches over links between ``a`` and ``b``."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
 def _forest(cell: np.ndarray, bits: np.ndarray, look: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the links within cells connect. Rows are sorted by cell, members first."""
     n = len(cell)
@@ -96,7 +114,8 @@ def _forest(cell: np.ndarray, bits: np.ndarray, look: np.ndarray, max_distance:
     partners = np.where(look, members, np.arange(n) - start)  # a look meets all members, a member those before it
     counts = popcounts(bits)
     one = np.uint64(0x5555555555555555)
-    found_a, found_b = [], []
+    distinct, number = np.unique(bits, return_inverse=True)
+    found_a, found_b = np.empty(0, np.int64), np.empty(0, np.int64)
     ends = np.cumsum(partners)
     at = 0
     while at < n:
@@ -111,26 +130,20 @@ def _forest(cell: np.ndarray, bits: np.ndarray, look: np.ndarray, max_distance:
         bound = np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(high & ~low)
         near = np.flatnonzero(bound <= max_distance)
         near = near[np.bitwise_count(bits[a[near]] ^ bits[b[near]]) <= max_distance]
-        found_a.append(a[near]), found_b.append(b[near])
+        found_a, found_b = np.append(found_a, number[a[near]]), np.append(found_b, number[b[near]])
+        if len(found_a) > PAIRS_AT_ONCE:  # what they connect is all that counts
+            label = _labels(len(distinct), found_a, found_b)
+            found_a = np.flatnonzero(label != np.arange(len(distinct)))
+            found_b = label[found_a]
         at = to
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    distinct, label_of = np.unique(bits, return_inverse=True)
-    a, b = label_of[a], label_of[b]
-    label = np.arange(len(distinct))
-    while True:
-        old = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == old).all():
-            break
+    label = _labels(len(distinct), found_a, found_b)
     moved = np.flatnonzero(label != np.arange(len(distinct)))
     return distinct[moved], distinct[label[moved]]
 
 
-def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Of distinct fingerprints (one long column), edges (u, v) whose components are those of all links."""
+def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """Of distinct fingerprints (one long column), edges (u, v) whose components are those of all links. A cell of more than
+    ``chunk`` members is cut into chunks, each of which its lookers meet, and the members of later chunks as well."""
     name = distinct.columns[0]
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,19 +163,41 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, look, bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            rows = (cell, bits.view(np.uint64), look)
-            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
-            if last or (held and held[-1][0][-1] != cell[-1]):
-                whole = [*held, tuple(x[:last] for x in rows)]
+            cell, part, look, bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+            # a cell's chunks are cells of their own; a number that rises tells them apart
+            number = np.zeros(len(cell), np.int64)
+            number[new] = 1
+            number = np.cumsum(number)
+            if held and (held[-1][3], held[-1][4]) != (cell[0], part[0]):
+                number += 1
+            number += held[-1][0][-1] if held else 0
+            rows = (number, bits.view(np.uint64), look)
+            last = int(new[-1]) if len(new) else 0
+            if last or (held and held[-1][0][-1] != number[0]):
+                whole = [h[:3] for h in held] + [tuple(x[:last] for x in rows)]
                 yield edges(tuple(np.concatenate(x) for x in zip(*whole)))
                 held = []
-            held.append(tuple(x[last:] for x in rows))
+            held.append((*(x[last:] for x in rows), cell[-1], part[-1]))
+            if sum(len(h[0]) for h in held) > ROWS_AT_ONCE and look[-1]:  # all members are here; lookers go on
+                whole = tuple(np.concatenate(x) for x in zip(*(h[:3] for h in held)))
+                yield edges(whole)
+                held = [(*(x[~whole[2]] for x in whole), cell[-1], part[-1])]
         if held:
-            yield edges(tuple(np.concatenate(x) for x in zip(*held)))
+            yield edges(tuple(np.concatenate(x) for x in zip(*(h[:3] for h in held))))
 
     cells = distinct.select(F.col(name)).mapInArrow(embed, "cell long, look boolean, bits long")
-    dealt = cells.repartition(partitions(distinct.sparkSession), "cell").sortWithinPartitions("cell", "look")
+    full = checkpoint(cells.filter("NOT look").groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).filter("parts > 1"))
+    full = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
+    # a member is in one chunk and looks into those before it, a looker into all
+    own = F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int")
+    none = F.array(F.struct(F.lit(0).alias("part"), F.col("look")))
+    some = F.when(F.col("look"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("look")))).otherwise(
+        F.transform(F.sequence(F.lit(0), own), lambda p: F.struct(p.alias("part"), (p < own).alias("look")))
+    )
+    met = cells.join(full, "cell", "left").select("cell", "bits", F.explode(F.when(F.col("parts").isNull(), none).otherwise(some)).alias("x"))
+    met = met.select("cell", F.col("x.part").alias("part"), F.col("x.look").alias("look"), "bits")
+    dealt = met.repartition(partitions(distinct.sparkSession), "cell", "part").sortWithinPartitions("cell", "part", "look")
     return dealt.mapInArrow(join, "u long, v long")
 
 
