@@ -7,12 +7,12 @@ with the target recall; that number comes from the sample too. The pair (a, b),
 and verified in double precision. A cell's pairs are counted as matrix products of members and visitors; no pair leaves its
 task, only each vector's number of links and the edges of a spanning forest.
 
-Exact copies are one row with a multiplicity, and a cell of many members is cut into chunks that each meet all visitors, so
-neither a group of copies nor a dense cell lands in one task.
+Exact copies are one row with a multiplicity. A cell's members are cut into chunks and its visitors into crowds, and every
+crowd meets every chunk in a task's group of its own, so neither a group of copies nor a dense cell lands in one task.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components and rows with a null label link with
-nothing: n_links 0, component_id their own id. So do rows with a null id, whose component_id is null. Vectors of another
-dimension than most link with their exact copies only. Rows that repeat an id are vectors of their own that link with each
+nothing: n_links 0, component_id their own id. So do rows with a null id, whose component_id is null. Vectors of
+different dimensions don't link; each dimension has an index of its own. Rows that repeat an id are vectors of their own that link with each
 other. An empty table gives no rows. Other columns aren't read.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .common import checkpoint, partitions, written
 from .components import connected_components
 
 MIN_COSINE, TARGET_RECALL, SAMPLE, CHUNK = 0.93, 0.98, 8_000, 512
+#: Codewords of a half, and numbers of the sample that codebooks are fitted on, at most.
+MAX_BOOK, SAMPLE_VALUES = 2_048, 1 << 24
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -82,14 +85,18 @@ class MultiIndex:
         return np.take_along_axis(order_a[:, i] * second.shape[1] + order_b[:, j], nearest, 1)
 
     def visits_for(self, sample: np.ndarray, min_cosine: float, recall: float, seed: int = 11) -> int:
-        """Cells to visit so that partners at exactly ``min_cosine``, in random directions, are met with this recall."""
+        """Cells to visit so that partners at exactly ``min_cosine``, in random directions, are met with this recall. A
+        partner's cell comes after as many cells as have smaller sums of distances."""
         rng = np.random.default_rng(seed)
         noise = rng.standard_normal(sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
         norms = np.linalg.norm(noise, axis=1, keepdims=True)
         partners = min_cosine * sample + math.sqrt(1 - min_cosine**2) * noise / np.where(norms > 0, norms, 1)
-        wanted, total = self.cells(partners), len(self.books[0]) * len(self.books[1])
-        rank = (self.traverse(sample, total) == wanted[:, None]).argmax(1)
+        wanted = self.cells(partners)
+        first, second = self._parts(sample)
+        rows = np.arange(len(sample))
+        limit = first[rows, wanted // second.shape[1]] + second[rows, wanted % second.shape[1]]
+        rank = [int(np.searchsorted(np.sort(b), d - a).sum()) for a, b, d in zip(first, second, limit)]
         return int(np.quantile(rank, recall, method="higher")) + 1
 
 
@@ -117,27 +124,13 @@ def _meet(members: np.ndarray, member_ids: np.ndarray, member_n: np.ndarray, vis
             return ids, links.astype(np.int64), ids[label]
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", min_cosine: float = MIN_COSINE, target_recall: float = TARGET_RECALL, sample: int = SAMPLE, codebook_size: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(vec_id, n_links, component_id). ``sample`` bounds the vectors on which codebooks and visits are fitted; every vector
-    is indexed. ``codebook_size`` grows with the square root of the number of vectors, up to 256, unless given."""
-    spark = vectors.sparkSession
-    vectors = vectors.select(F.col(vec_id).alias("vec"), F.col(embedding).alias("vector"), F.col(label).alias("label"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    keys = [F.xxhash64("label", "vector").alias("k1"), F.xxhash64(F.lit(1), "label", "vector").alias("k2")]
-    alone = vectors.filter(~usable).select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
-    rows = vectors.filter(usable)
-    known = checkpoint(rows.select("vec", *keys))
-    copies = rows.select("vec", "label", "vector", *keys).groupBy("k1", "k2").agg(F.min("vec").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    stored = written(copies.withColumn("dim", F.size("vector")), "vectors")
-    total = stored.count()
-    if not total:
-        return alone.select(F.col("vec").alias(vec_id), "n_links", "component_id")
-    dim = stored.groupBy("dim").count().orderBy(F.desc("count"), "dim").first().dim
-    reps = stored.filter(F.col("dim") == dim)
+def _met(reps: DataFrame, total: int, dim: int, min_cosine: float, target_recall: float, sample: int, codebook_size: int | None, chunk: int) -> DataFrame:
+    """(rep, links, root) of linked vectors, found by an index over ``reps``, different vectors of one dimension."""
+    spark = reps.sparkSession
+    size = codebook_size or min(MAX_BOOK, max(4, 2 ** math.ceil(math.log2(total) / 2 - 4)))
+    sample = max(1, min(max(sample, 16 * size), SAMPLE_VALUES // dim))
     taken = reps.select("vector", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).toArrow().column("vector").combine_chunks()
     taken = unit(_matrix(taken))
-    size = codebook_size or min(256, max(4, 2 ** math.ceil(math.log2(total) / 2 - 4)))
     index = MultiIndex(taken, size)
     visits = index.visits_for(taken[:2_000], min_cosine, target_recall)
     shared = spark.sparkContext.broadcast(index)
@@ -156,10 +149,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 yield pa.RecordBatch.from_arrays([cut.column("label").take(row), pa.array(cells.ravel(), pa.int32()), pa.array(visitor), cut.column("rep").take(row), cut.column("n").take(row), cut.column("vector").take(row)], names=placed.names)
 
     met = reps.select("label", F.col("rep").cast("long").alias("rep"), F.col("n").cast("long").alias("n"), "vector").mapInArrow(place, placed)
-    sizes = met.filter("NOT visitor").groupBy("label", "cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).filter("chunks > 1")
-    chunks = F.coalesce("chunks", F.lit(1))
-    met = met.join(checkpoint(sizes), ["label", "cell"], "left").withColumn("chunk", F.explode(F.when(F.col("visitor"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), chunks).cast("int")))))
-    group = ["label", "cell", "chunk"]
+    count = lambda what, n: F.ceil(F.count_if(what) / n).cast("int")
+    sizes = met.groupBy("label", "cell").agg(count(~F.col("visitor"), chunk).alias("chunks"), count(F.col("visitor"), 4 * chunk).alias("crowds")).filter("chunks > 1 OR crowds > 1")
+    # a cell's members are cut into chunks and its visitors into crowds, each of which meets each chunk
+    ways = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)) - 1)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))).cast("int")
+    met = met.join(checkpoint(sizes), ["label", "cell"], "left")
+    met = met.withColumn("other", F.explode(F.when(F.col("visitor"), ways(F.col("chunks"))).otherwise(ways(F.col("crowds")))))
+    met = met.withColumns({"chunk": F.when(F.col("visitor"), F.col("other")).otherwise(own(F.col("chunks"))), "crowd": F.when(F.col("visitor"), own(F.col("crowds"))).otherwise(F.col("other"))})
+    group = ["label", "cell", "chunk", "crowd"]
     dealt = met.select(*group, "visitor", "rep", "n", "vector").repartition(partitions(spark), *group).sortWithinPartitions(*group, "visitor")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +170,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 for a, b in zip(edges, edges[1:]):
                     part = cut.slice(a, b - a)
                     rows = unit(_matrix(part.column("vector"))), part.column("rep").to_numpy(), part.column("n").to_numpy()
-                    if now != names[a][:3]:
-                        now, members = names[a][:3], []
-                    if not names[a][3]:
+                    if now != names[a][:4]:
+                        now, members = names[a][:4], []
+                    if not names[a][4]:
                         members.append(rows)
                     elif members:
                         if len(members) > 1:
@@ -183,7 +181,28 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                         if len(ids):
                             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(roots)], names=["rep", "links", "root"])
 
-    found = checkpoint(dealt.mapInArrow(verify, "rep long, links long, root long"))
+    return dealt.mapInArrow(verify, "rep long, links long, root long")
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", min_cosine: float = MIN_COSINE, target_recall: float = TARGET_RECALL, sample: int = SAMPLE, codebook_size: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(vec_id, n_links, component_id). ``sample`` or sixteen vectors a codeword, the more of them, bound the
+    vectors on which codebooks and visits are fitted; every vector is indexed. ``codebook_size`` grows with the square root of
+    the number of vectors, up to ``MAX_BOOK``, unless given."""
+    spark = vectors.sparkSession
+    vectors = vectors.select(F.col(vec_id).alias("vec"), F.col(embedding).alias("vector"), F.col(label).alias("label"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    usable = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
+    keys = [F.xxhash64("label", "vector").alias("k1"), F.xxhash64(F.lit(1), "label", "vector").alias("k2")]
+    alone = vectors.filter(~usable).select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
+    rows = vectors.filter(usable)
+    known = checkpoint(rows.select("vec", *keys))
+    copies = rows.select("vec", "label", "vector", *keys).groupBy("k1", "k2").agg(F.min("vec").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    stored = written(copies.withColumn("dim", F.size("vector")), "vectors")
+    dims = stored.groupBy("dim").count().orderBy("dim").collect()  # one row for each length of vectors
+    if not dims:
+        return alone.select(F.col("vec").alias(vec_id), "n_links", "component_id")
+    met = [_met(stored.filter(F.col("dim") == d.dim), d["count"], d.dim, min_cosine, target_recall, sample, codebook_size, chunk) for d in dims]
+    found = checkpoint(reduce(DataFrame.unionByName, met))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select("rep", "root")).select(F.col("node").alias("rep"), "component")
     result = checkpoint(
