@@ -1,9 +1,9 @@
 """Quality by random-indexing word vectors pooled per document and a two-layer network with calibrated probabilities.
 
 Every token falls into one of ``BUCKETS`` buckets, each with a sparse random index vector. A bucket's word vector is the sum
-of the index vectors of its neighbours in a bounded sample of labelled documents, scaled to unit length. A document is the
+of the index vectors of its neighbours in all documents, scaled to unit length. A document is the
 mean of its tokens' vectors, rarer tokens weighing more, next to a few shares of token shapes. A network of two layers maps
-that to a logit, trained on the sample; a temperature fitted on a part of the sample kept aside calibrates the probability.
+that to a logit, trained on a bounded sample of labelled documents; a temperature fitted on a part of the sample kept aside calibrates the probability.
 
 Edge cases: a null or empty text is a zero vector and scored as such. A row with a null doc_id is scored and isn't held out.
 Repeated rows are scored alike; an empty table gives no rows; without labelled rows of both classes every score is the share
@@ -95,51 +95,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def word_vectors(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(unit word vectors, token weights) by bucket, from the texts of a bounded sample."""
+def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(unit word vectors, token weights) by bucket, from all texts: sums of whole numbers, the same in any order."""
+
+    def rows(sums: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(counts)
+        for a in range(0, len(used), 4_000):
+            some = used[a : a + 4_000]
+            packed = pa.array([x.tobytes() for x in sums[some].astype("<i8" if np.abs(sums[some]).max(initial=0) >= 1 << 31 else "<i4")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), packed], names=["bucket", "n", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tokens = index_vectors(), Tokens()
-        sums, counts = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, np.int64)
-        for _, texts in text_slices(batches, "text"):
-            pairs = []
+        index, tokens = index_vectors().astype(np.int64), Tokens()
+        sums, counts = np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, np.int64)
+        for _, texts in text_slices(batches, text):
+            pairs, seen = [], []
             for t in texts:
                 at, _ = tokens.of(t)
-                counts += np.bincount(at, minlength=BUCKETS)
+                seen.append(at)
                 for k in range(1, REACH + 1):
                     pairs += [at[:-k] * BUCKETS + at[k:], at[k:] * BUCKETS + at[:-k]]
             if pairs:
+                counts += np.bincount(np.concatenate(seen), minlength=BUCKETS)
                 pair, n = np.unique(np.concatenate(pairs), return_counts=True)
                 word, first = np.unique(pair // BUCKETS, return_index=True)
-                for a in range(0, len(word), 2_000):
-                    low, high = first[a], first[a + 2_000] if a + 2_000 < len(word) else len(pair)
-                    near = index[pair[low:high] % BUCKETS] * n[low:high, None].astype(np.float32)
+                for a in range(0, len(word), 500):
+                    low, high = first[a], first[a + 500] if a + 500 < len(word) else len(pair)
+                    near = index[pair[low:high] % BUCKETS] * n[low:high, None]
                     if len(near):
-                        sums[word[a : a + 2_000]] += np.add.reduceat(near, first[a : a + 2_000] - low)
-        used = np.flatnonzero(counts)
-        for a in range(0, len(used), 4_000):
-            some = used[a : a + 4_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), pa.FixedSizeListArray.from_arrays(pa.array(sums[some].ravel()), DIM).cast(pa.list_(pa.float32()))], names=["bucket", "n", "sums"])
+                        sums[word[a : a + 500]] += np.add.reduceat(near, first[a : a + 500] - low)
+        yield from rows(sums, counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, np.int64)
+        sums, counts = np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            at = batch.column("bucket").to_numpy()
-            np.add.at(counts, at, batch.column("n").to_numpy())
-            np.add.at(sums, at, batch.column("sums").flatten().to_numpy().reshape(-1, DIM))
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used]), pa.FixedSizeListArray.from_arrays(pa.array(sums[used].ravel()), DIM).cast(pa.list_(pa.float32()))], names=["bucket", "n", "sums"])
+            for b, n, x in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("sums").to_pylist()):
+                counts[b] += n
+                sums[b] += np.frombuffer(x, f"<i{len(x) // DIM}")
+        yield from rows(sums, counts)
 
-    kind = "bucket int, n long, sums array<float>"
+    kind = "bucket int, n long, sums binary"
     # BUCKETS rows at most come back
-    table = sample.select("text").mapInArrow(run, kind).repartition(partitions(sample.sparkSession), "bucket").mapInArrow(add, kind).toArrow()
-    vectors, counts = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS)
-    at = table.column("bucket").to_numpy()
-    counts[at] = table.column("n").to_numpy()
-    vectors[at] = table.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    table = docs.select(text).mapInArrow(run, kind).repartition(partitions(docs.sparkSession), "bucket").mapInArrow(add, kind).toArrow()
+    vectors, counts = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
+    for b, n, x in zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "sums"))):
+        counts[b], vectors[b] = n, np.frombuffer(x, f"<i{len(x) // DIM}")
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
     share = counts / max(1, counts.sum())
-    return vectors, (1e-3 / (1e-3 + share)).astype(np.float32)
+    return vectors.astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32)
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, share: np.ndarray, model: Model, epochs: int = 60, rate: float = 0.01, seed: int = 5) -> Model:
@@ -178,9 +181,10 @@ def fit_network(x: np.ndarray, y: np.ndarray, share: np.ndarray, model: Model, e
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Word vectors, network and temperature; ``per_class`` bounds the labelled rows of each class that they come from."""
+    """Word vectors of all documents, and network and temperature; ``per_class`` bounds the labelled rows of each class that
+    these two are fitted on."""
     sample, stands_for = labelled_sample(docs, labels, label, per_class)
-    model = Model(*word_vectors(sample))
+    model = Model(*word_vectors(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns ``keep`` and the probability that a text's quality is 1."""
+    """The columns ``keep`` and the probability that a text's quality is 1, which replaces a kept column of its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in dict.fromkeys(keep) if c != name)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
