@@ -55,7 +55,7 @@ def edits_for(term: str, beginning: bool) -> int:
 
 
 class LexiconAutomaton:
-    """The determinised intersection of a trie with its entries' Levenshtein automata. Misspellings keep the first letter."""
+    """The determinised intersection of a trie with its entries' Levenshtein automata."""
 
     def __init__(self, terms: list[tuple[str, bool]], max_states: int = 50_000):
         self.terms, self.max_states = terms, max_states
@@ -86,7 +86,7 @@ class LexiconAutomaton:
         """The number of a state, closed under characters that the word lacks. held: (edits, entry) of a matched beginning."""
         queue = list(nodes.items())
         for node, e in queue:
-            if node and e < self.most[node]:
+            if e < self.most[node]:
                 for child in self.children[node].values():
                     if e + 1 <= self.most[child] and e + 1 < nodes.get(child, 99):
                         nodes[child] = e + 1
@@ -110,7 +110,7 @@ class LexiconAutomaton:
         for node, e in pairs:
             if (child := self.children[node].get(c)) is not None and e <= self.most[child]:
                 nodes[child] = min(e, nodes.get(child, 99))
-            if node and e < self.most[node]:
+            if e < self.most[node]:
                 nodes[node] = min(e + 1, nodes.get(node, 99))
                 for child in self.children[node].values():
                     if e + 1 <= self.most[child]:
@@ -265,8 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 
 def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns ``keep`` and the probability that a text is toxic."""
+    """The columns ``keep`` and the probability that a text is toxic, which replaces a kept column of its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in dict.fromkeys(keep) if c != name)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,5 +281,4 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], tex
 
 def remove_toxic(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
-    packed = docs.select(F.struct("*").alias("__document"), F.col(text).alias("__text"))
-    return score(packed, model, "__text", ("__document",), "__score").filter(F.col("__score") < threshold).select("__document.*")
+    return score(docs, model, text, tuple(docs.columns), "__score").filter(F.col("__score") < threshold).drop("__score")
