@@ -41,6 +41,8 @@ FREQUENT, MIN_CONTEXT, MIN_NEXT, MIN_GAIN, PRIOR = 1e-6, 0.0, 0.0, 10.0, 5.0
 LEAST_CONTEXT, LEAST_NEXT, ROOT, HOT = 4, 4, 1e-3, 1e-6
 #: Mixed into a row's number where it stands for the row's own sums.
 ROW = 0x14057B7EF767814F
+#: From this depth on, contexts of two depths are counted in one pass over the texts.
+TOGETHER = 4
 END = b""
 END_KEY = key_of(END)
 TOKEN, NEXT, STATE = 0, 1, 2
@@ -149,10 +151,11 @@ def _slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tokens: i
             start = to
 
 
-def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.ndarray, lowers: np.ndarray, least: float, most: int = 1_500_000) -> DataFrame:
+def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.ndarray, lowers: np.ndarray, least: float, more: bool = False, most: int = 1_500_000) -> DataFrame:
     """A written table (name, context, lower, n): contexts of this depth with a next token, ``lower`` being the suffix with
     that token, and how often they occur, at least ``least`` times. Left out are those that the sieves show to be too rare.
-    Tasks add up what they have before the shuffle; behind it, sorted rows are added up as they come."""
+    With ``more``, those of one token more are counted too, where both the context and the suffix with the next token are
+    counted. Tasks add up what they have before the shuffle; behind it, sorted rows are added up as they come."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, contexts, lowers))
     names = ["context", "lower", "n"]
@@ -172,14 +175,17 @@ def _grams(encoded: DataFrame, vocabulary: Vocabulary, depth: int, contexts: np.
             return pa.RecordBatch.from_arrays([pa.array(x) for x in added(context[order], lower[order], np.ones(len(order), np.int64))], names=names)
 
         for _, _, keys, _ in _slices(batches, vocabulary):
-            for there, context, gram, lower in windows(keys, depth):
-                pass
-            ok = np.flatnonzero(there)
-            ok = ok[passes(contexts, context[ok])]
-            ok = ok[passes(lowers, lower[ok])]
-            if len(ok):
-                held.append((gram[ok], context[ok], lower[ok]))
-                size += len(ok)
+            for d, (there, context, gram, lower) in enumerate(windows(keys, depth + more), 1):
+                if d == depth:
+                    ok = np.flatnonzero(there)
+                    ok = ok[passes(contexts, context[ok])]
+                    ok = ok[passes(lowers, lower[ok])]
+                elif d > depth:
+                    ok = np.intersect1d(ok, ok + 1, assume_unique=True)
+                    ok = ok[there[ok]]
+                if d >= depth and len(ok):
+                    held.append((gram[ok], context[ok], lower[ok]))
+                    size += len(ok)
             if size > 2 * most:
                 yield flush()
                 held, size = [], 0
@@ -267,9 +273,10 @@ def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_ne
     while len(values) < 2 or states.count():
         depth = len(values) + 1
         common = level.filter(F.col("n") >= least_context)
-        grams = _grams(encoded, tree.vocabulary, depth, sieve(common), sieve(level.filter(F.col("n") >= least)), least)
+        if depth < TOGETHER or (depth - TOGETHER) % 2 == 0:  # deep contexts are few: two depths share a pass over the texts
+            raw = _grams(encoded, tree.vocabulary, depth, sieve(common), sieve(level.filter(F.col("n") >= least)), least, depth >= TOGETHER)
         contexts = common.select(F.col("name").alias("context"), F.col("lower").alias("suffix"), F.col("n").alias("all"))
-        grams = grams.join(contexts, "context").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower")
+        grams = raw.join(contexts, "context").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower")
         grams = written(grams.select("name", "context", "lower", "n", "low", "suffix", "all"), "grams-lower")
         follow = grams.filter(F.col("n") >= least_next)
         mass = follow.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("all").alias("all"), F.sum("n").alias("kept"))
