@@ -18,10 +18,13 @@ SLICE_CHARS = 2_000_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate files: the session's ``spark.checkpoint.dir``; a new temporary one where that
-    setting is absent, as in local tests."""
+    setting is absent and Spark is local, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-"))
     return sc.getCheckpointDir()
 
 

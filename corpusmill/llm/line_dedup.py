@@ -88,8 +88,9 @@ class LineRuns:
             self._drop(name)
 
 
-def dropped_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, keys): the hashes of the keys that a document loses; documents that lose none are absent."""
+def dropped_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, runs: LineRuns | None = None) -> DataFrame:
+    """(doc_id, keys): the hashes of the keys that a document loses; documents that lose none are absent. With ``runs`` of
+    earlier calls, lines that their documents hold are lost too, whatever the ids, and this call's keys join them."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull())
     kind = docs.schema["doc"].dataType
@@ -108,18 +109,22 @@ def dropped_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     docs.mapInArrow(run, schema).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
 
-    runs, dropped = LineRuns(spark, fanout), []
-    for b in range(len(cuts) + 1):
-        own = lines.filter(F.col("batch") == b).select("doc", "key")
-        keys = own.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        met = written(runs.owners(keys), "line-keys")
-        twice = met.filter(F.col("prior").isNotNull() | (F.col("last") > F.col("first")))
-        # a key's lines may be many: its owners are written, so that a hot key's part of this join can be split
-        twice = checkpoint(twice.select("key", F.coalesce("prior", "first").alias("owner")))
-        dropped.append(own.join(twice, "key").filter(F.col("doc") > F.col("owner")).select("doc", "key"))
-        if b < len(cuts):
-            runs.add(met.filter(F.col("prior").isNull()).select("key", F.col("first").alias("owner")))
-    runs.clear()
+    held, dropped = runs or LineRuns(spark, fanout), []
+    earlier = bool(held.paths)
+    try:
+        for b in range(len(cuts) + 1):
+            own = lines.filter(F.col("batch") == b).select("doc", "key")
+            keys = own.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+            met = written(held.owners(keys), "line-keys")
+            # a key's lines may be many: its owners are written, so that a hot key's part of this join can be split
+            twice = met.filter(F.col("prior").isNotNull() | (F.col("last") > F.col("first")))
+            twice = checkpoint(twice.select("key", F.coalesce("prior", "first").alias("owner"), (F.col("prior").isNotNull() & F.lit(earlier)).alias("met")))
+            dropped.append(own.join(twice, "key").filter("met OR doc > owner" if earlier else "doc > owner").select("doc", "key"))
+            if b < len(cuts) or runs is not None:
+                held.add(met.filter(F.col("prior").isNull()).select("key", F.col("first").alias("owner")))
+    finally:
+        if runs is None:
+            held.clear()
     found = reduce(DataFrame.unionByName, dropped)
     return found.groupBy("doc").agg(F.collect_list("key").alias("keys")).withColumnRenamed("doc", doc_id)
 

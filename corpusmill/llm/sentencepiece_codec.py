@@ -5,7 +5,8 @@ word and the mark that follows it. Each distinct marked word is then segmented o
 by position; that equals encoding the whole text. A vocabulary with such pieces is encoded text by text.
 
 Edge cases: a null text counts as empty and has no ids; an empty list and null decode to ''. Rows are neither dropped nor
-merged, so repeated rows and an empty table pass through. Only the columns named by the caller are read and returned.
+merged, so repeated rows and an empty table pass through. Only the columns named by the caller are read and returned; a kept
+column that is named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
 
     ``model`` is the path of a SentencePiece model on every worker; ``max_chunks`` bounds a task's table.
     """
+    keep = tuple(c for c in dict.fromkeys(keep) if c != ids)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +83,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
 
 def decode(tokens: DataFrame, model: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id", "ids"), text: str = "decoded") -> DataFrame:
     """The columns ``keep`` and the text that the library decodes from each row's ids."""
+    keep = tuple(c for c in dict.fromkeys(keep) if c != text)
     schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

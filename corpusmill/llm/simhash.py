@@ -57,7 +57,8 @@ def _fingerprint(text: str, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` and fingerprint, the 64 bits as a signed long."""
+    """The columns ``keep`` and fingerprint, the 64 bits as a signed long, which replaces a kept column of its name."""
+    keep = tuple(c for c in dict.fromkeys(keep) if c != "fingerprint")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fingerprint", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows around each hit.
 
 The lexicon is learned from a bounded sample of labelled documents: words, and word beginnings, whose documents are toxic
-far more often than others. Its trie is intersected with the Levenshtein automata of its entries: a state is the set of
+far more often than others; how many edits an entry allows depends on how common the words near to it are. Its trie is intersected with the Levenshtein automata of its entries: a state is the set of
 (trie node, edits so far), determinised and remembered as words are read, so that a word is matched character by character
 against all entries at once, misspelled or not. Each hit is scored in a window of words around it: hits in quotation marks or
 near a reporting word count as quotation, hits near an address as abuse. A logistic regression weighs the counts; its
@@ -32,6 +32,8 @@ QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("said says say saying quote quoted quotes wrote writes called calls word words term terms slur insult dit écrit mot mots terme sagte sagt schrieb wort worte begriff dijo dice escribió palabra palabras término".split())
 ADDRESS = frozenset("you your you're youre u ur yourself tu toi vous ton votre du dich dein ihr euch sie tú usted ustedes eres vosotros".split())
 WINDOW, BEGINNING, MIN_DOCS, MIN_ODDS, MAX_TERMS = 6, (4, 8), 3, 2.5, 2_000
+#: A number of edits is no misspelling of an entry if a larger share of the texts that aren't toxic has such words.
+MAX_CLEAN = 1e-4
 #: A beginning that clean texts have too is an entry if toxic texts have it so many times far more often.
 REPEATED = 3
 #: A word's beginning is an entry if so many times more toxic texts have it than the commonest word that starts with it.
@@ -57,12 +59,12 @@ def edits_for(term: str, beginning: bool) -> int:
 class LexiconAutomaton:
     """The determinised intersection of a trie with its entries' Levenshtein automata."""
 
-    def __init__(self, terms: list[tuple[str, bool]], max_states: int = 50_000):
+    def __init__(self, terms: list[tuple[str, bool]], allowed: list[int] | None = None, max_states: int = 50_000):
         self.terms, self.max_states = terms, max_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.most: list[int] = [0]  # edits that any entry below a node allows
-        self.allowed = [edits_for(*t) for t in terms]
+        self.allowed = [edits_for(*t) for t in terms] if allowed is None else allowed
         for k, (term, _) in enumerate(terms):
             node = 0
             self.most[0] = max(self.most[0], self.allowed[k])
@@ -135,8 +137,8 @@ class LexiconAutomaton:
 class Scorer:
     """Counts of a text's hits by kind and context, and their weighted score."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray | None = None, max_words: int = 300_000):
-        self.automaton, self.weights, self.max_words = LexiconAutomaton(terms), weights, max_words
+    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray | None = None, allowed: list[int] | None = None, max_words: int = 300_000):
+        self.automaton, self.weights, self.max_words = LexiconAutomaton(terms, allowed), weights, max_words
         self.seen: set[str] = set()
         self.hits: dict[str, int] = {}
 
@@ -234,6 +236,30 @@ def choose_entries(found: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     return list(kept)
 
 
+def learn_edits(sample: DataFrame, terms: list[tuple[str, bool]]) -> list[int]:
+    """The edits within which each entry matches: fewer than edits_for() where words so near to it are common in texts that
+    aren't toxic, as some entries are near to ordinary words."""
+    totals = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    shared = sample.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, found = LexiconAutomaton(shared.value).match, Counter()
+        for cut, texts in text_slices(batches, "text"):
+            for t, v in zip(texts, cut.column("label").to_pylist()):
+                hits = {m for m in map(match, set(words_of(t))) if m and m[0]}
+                found.update((k, e, v) for e, k in hits)
+        rows = [(*key, n) for key, n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 4)], names=["entry", "edits", "label", "n"])
+
+    counts = sample.mapInArrow(run, "entry long, edits long, label long, n long").groupBy("entry", "edits", "label").agg(F.sum("n").alias("n"))
+    share = {(r.entry, r.edits, r.label): r.n / totals[r.label] for r in counts.collect()}  # a few numbers for each entry
+    out = []
+    for k, term in enumerate(terms):
+        clean = [e for e in range(1, edits_for(*term) + 1) if share.get((k, e, 0), 0) > max(MAX_CLEAN, share.get((k, e, 1), 0) / math.exp(MIN_ODDS))]
+        out.append(min([e - 1 for e in clean], default=edits_for(*term)))
+    return out
+
+
 def fit_weights(features: np.ndarray, labels: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, pulled towards the prior ones; ``share`` weighs the rows."""
     prior = np.array([BASE, *(w for _, w in FEATURES)])
@@ -247,24 +273,28 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, share: np.ndarray) ->
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """Lexicon and weights; ``per_class`` bounds the labelled rows of each class that they come from."""
+Model = tuple[list[tuple[str, bool]], np.ndarray, list[int]]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    """Lexicon, weights and the entries' edits; ``per_class`` bounds the labelled rows of each class that they come from."""
     sample, stands_for = labelled_sample(docs, labels, label, per_class)
     terms = learn_lexicon(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    allowed = learn_edits(sample, terms)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, None, allowed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for cut, texts in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in texts], pa.list_(pa.float64())), cut.column("label")], names=["features", "label"])
 
     rows = sample.mapInArrow(run, "features array<double>, label int").collect()  # the bounded sample's few counts
     y = np.array([r.label for r in rows], float)
     x = np.array([r.features for r in rows], float).reshape(len(rows), len(FEATURES))
-    return terms, fit_weights(x, y, np.array([stands_for.get(int(v), 1.0) for v in y]))
+    return terms, fit_weights(x, y, np.array([stands_for.get(int(v), 1.0) for v in y])), allowed
 
 
-def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns ``keep`` and the probability that a text is toxic, which replaces a kept column of its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = tuple(c for c in dict.fromkeys(keep) if c != name)
@@ -279,6 +309,9 @@ def score(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], tex
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def remove_toxic(docs: DataFrame, model: tuple[list[tuple[str, bool]], np.ndarray], threshold: float = 0.3, text: str = "text") -> DataFrame:
+def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
-    return score(docs, model, text, tuple(docs.columns), "__score").filter(F.col("__score") < threshold).drop("__score")
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, text, tuple(docs.columns), name).filter(F.col(name) < threshold).drop(name)
