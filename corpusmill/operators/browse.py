@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .order import running_total
 
 #: The columns of the flat export.
 FLAT_COLUMNS = ("id", "subject", "category", "title", "text", "lang", "word_count", "line_count", "source", "source_kind", "sources", "source_url", "source_urls", "date", "topics", "meter", "rhyme")
@@ -46,9 +47,9 @@ def reading_key(title: Column, date: Column, record_id: Column) -> Column:
 
 def chapters(records: DataFrame, by: str, title: str, date: str, record_id: str) -> DataFrame:
     """Adds chapter, the place in reading order, and chapter_title, '#n' for untitled ones."""
-    order = Window.partitionBy(by).orderBy(reading_key(F.col(title), F.col(date), F.col(record_id)))
-    out = records.withColumn("chapter", F.row_number().over(order))
-    return out.withColumn("chapter_title", F.coalesce(tx.nonempty(F.col(title)), F.concat(F.lit("#"), F.col("chapter").cast("string"))))
+    key = reading_key(F.col(title), F.col(date), F.col(record_id))
+    out = running_total(records, [key["part"], key["key"], key["id"]], F.lit(1), "chapter", (by,)).withColumn("chapter", F.col("chapter").cast("int"))
+    return out.select(*records.columns, "chapter", F.coalesce(tx.nonempty(F.col(title)), F.concat(F.lit("#"), F.col("chapter").cast("string"))).alias("chapter_title"))
 
 
 def flat_rows(records: DataFrame, columns: tuple[str, ...] = FLAT_COLUMNS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: Engines whose hits are trusted, and grades of confidence, the best first.
 QUALITY_ENGINES = ("google", "brave", "wikipedia", "qwant")
 CONFIDENCE = ("high", "medium", "low", "reference")
 
@@ -91,6 +92,7 @@ def merge_candidates(probed: DataFrame, searched: DataFrame) -> DataFrame:
     return both.select("url", F.coalesce("site", "__site").alias("site"), F.coalesce("confidence", "__confidence").alias("confidence"), F.coalesce("__n_hits", F.lit(0)).alias("n_hits"))
 
 
+#: The variants' words are fixed values.
 def query_variants(subjects: DataFrame) -> DataFrame:
     """(name, ord, query): search queries for subjects (name, type)."""
     name = F.trim(F.trim("name"), F.lit('"'))

@@ -25,7 +25,7 @@ def frontier(links: DataFrame, known: DataFrame, key: str = "url", order: str =
 
 
 def cap_per_source(records: DataFrame, most: int, source: str = "source", order: str = "seq") -> DataFrame:
-
+    """The first records of each source, in order. Spark limits the groups in each task before the shuffle too."""
     return records.withColumn("rank", F.row_number().over(Window.partitionBy(source).orderBy(order))).filter(F.col("rank") <= most)
 
 

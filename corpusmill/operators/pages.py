@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -209,6 +210,18 @@ def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link)])
 
 
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references as characters."""
+    return text.map(unescape, na_action="ignore")
+
+
+def page_title(html: Column) -> Column:
+    """The title element's text, '' without one; only titles with character references leave the JVM."""
+    title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)
+    return F.coalesce(unescaped(F.when(F.contains(title, F.lit("&")), title)), title)
+
+
 def subject_listing(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
     """(slug, label): of links whose href and label the pattern's two groups give, the first non-empty label of each slug."""
     pairs = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(pattern), 1).alias("slug"), F.regexp_extract_all(F.col(html), F.lit(pattern), 2).alias("label"))

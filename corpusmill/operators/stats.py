@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..scratch import stored
+from .order import medians, values_at
 
+#: Separators of titles, in the order of preference.
 SEPARATORS = ("»", "›", "·", "|", "—", "/", "::")
 
 
@@ -21,14 +24,11 @@ def bucket_totals(records: DataFrame) -> DataFrame:
 
 
 def nearest_rank_percentiles(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """Of each percent, the value at index round(p / 100 * (n - 1)), half to even; 0 for an empty table. Equal values are
-    counted together, so one row for each different value is ranked."""
-    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    up_to = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("end", F.sum("n").over(up_to))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    wanted = total.select("total", F.explode(F.array(*map(F.lit, percents))).alias("percent")).withColumn("at", F.bround(F.col("percent") / 100 * (F.col("total") - 1)).cast("long"))
-    hit = placed.join(F.broadcast(wanted), (F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("n"))).select("percent", "value")
+    """Of each percent, the value at index round(p / 100 * (n - 1)), half to even; 0 for an empty table."""
+    total = values.agg(F.count(column).alias("total"))
+    wanted = total.select(F.explode(F.array(*map(F.lit, percents))).alias("percent"), "total")
+    places = wanted.select(F.col("percent").alias("name"), F.bround(F.col("percent") / 100 * (F.col("total") - 1)).cast("long").alias("at"))
+    hit = values_at(values, column, places).withColumnRenamed("name", "percent")
     return wanted.select("percent").join(hit, "percent", "left").select("percent", F.coalesce("value", F.lit(0)).alias("value"))
 
 
@@ -87,11 +87,10 @@ def suggest_footers(texts: DataFrame, last: int = 3, most: int = 6) -> DataFrame
 def suggest_thresholds(texts: DataFrame, script: str = tx.ARABIC) -> DataFrame:
     """(min_chars, min_script_ratio, n, median_chars, median_ratio) of a sample."""
     rows = texts.filter(F.col("text") != "").select(F.length("text").alias("chars"), tx.script_ratio(F.col("text"), script).alias("ratio"))
-    found = rows.agg(F.count("*").alias("n"), F.median("chars").alias("median_chars"), F.min("ratio").alias("least"), F.median("ratio").alias("median_ratio"))
-    up_to = Window.orderBy("chars").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lengths = rows.groupBy("chars").agg(F.count("*").alias("c")).withColumn("end", F.sum("c").over(up_to))
-    quarter = lengths.join(F.broadcast(rows.agg(F.floor(F.count("*") / 4).alias("at")))).filter((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("c"))).select(F.col("chars").alias("p25"))
-    found = found.join(quarter)
+    rows = stored(rows, "thresholds")
+    quarter = values_at(rows, "chars", rows.agg(F.lit("p25").alias("name"), F.floor(F.count("*") / 4).alias("at"))).select(F.col("value").alias("p25"))
+    middle = lambda c: medians(rows, c).select(F.col("median").alias(f"median_{c}"))
+    found = rows.agg(F.count("*").alias("n"), F.min("ratio").alias("least")).join(middle("chars")).join(middle("ratio")).join(quarter)
     p25 = F.col("p25")
     chars = F.greatest(F.lit(20), F.least(p25, F.floor(F.col("median_chars") * 0.5).cast("int")))
     ratio = F.when((F.col("least") >= 0.4) | (F.col("median_ratio") >= 0.5), 0.4).otherwise(0.0)
@@ -104,3 +103,51 @@ def subject_totals(counts: DataFrame) -> DataFrame:
     raw = F.col("stage") == "raw"
     largest = F.max_by(F.when(raw, F.col("source")), F.when(raw, F.struct("n", "source"))).alias("primary_source")
     return counts.groupBy("subject").agg(total("raw"), total("clean"), total("export"), largest, F.count_if(raw).alias("raw_sources"))
+
+
+def corpus_totals(totals: DataFrame) -> DataFrame:
+    """(buckets, n_rows, words, lines) over the primary buckets; sidecars are left out."""
+    main = totals.filter(~F.col("sidecar"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return main.agg(F.count("*").alias("buckets"), total("n_rows"), total("words"), total("lines"))
+
+
+def labelled_totals(totals: DataFrame, names: DataFrame) -> DataFrame:
+    """Buckets' totals with a label, most rows first. names: subject, name_ar, name_en; as many as are configured."""
+    known = names.select(F.col("subject").alias("bucket"), tx.nonempty(F.col("name_ar")).alias("ar"), tx.nonempty(F.col("name_en")).alias("en"))
+    both = F.concat(F.col("ar"), F.lit(" ("), F.col("en"), F.lit(")"))
+    labelled = totals.join(known, "bucket", "left").withColumn("label", F.coalesce(both, "ar", "en", "bucket")).drop("ar", "en")
+    return labelled.orderBy(F.desc("n_rows"), "bucket")
+
+
+def subject_sources(counts: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject, stage, source, n): raw sources that are named like a subject or end with its name behind '-' or '_', and
+    clean and exported ones that are named like it or start with its name before '__'. Each source's possible subjects are
+    listed and joined by equality."""
+    source, at = F.col("source"), F.sequence(F.lit(1), F.greatest(F.length("source"), F.lit(1)))
+    ends = F.transform(F.filter(at, lambda i: F.substr(source, i, F.lit(1)).isin("-", "_")), lambda i: F.substr(source, i + 1))
+    starts = F.transform(F.filter(at, lambda i: F.substr(source, i, F.lit(2)) == "__"), lambda i: F.substr(source, F.lit(1), i - 1))
+    named = F.array_distinct(F.concat(F.array(source), F.when(F.col("stage") == "raw", ends).otherwise(starts)))
+    return counts.select("stage", "source", "n", F.explode(named).alias("subject")).join(subjects.select("subject").distinct(), "subject").select("subject", "stage", "source", "n")
+
+
+def sample_profile(samples: DataFrame, script: str = tx.ARABIC) -> DataFrame:
+    """(samples, with_title, with_text, median_chars, median_ratio) of titles and texts; medians are of texts that aren't
+    empty, 0 where there are none."""
+    rows = samples.select(tx.nonempty(F.trim("title")).alias("title"), tx.nonempty(F.col("text")).alias("text"))
+    rows = stored(rows.select(F.col("title").isNotNull().alias("titled"), F.length("text").alias("chars"), F.when(F.col("text").isNotNull(), tx.script_ratio(F.col("text"), script)).alias("ratio")), "profile")
+    middle = lambda c: medians(rows, c).select(F.col("median").alias(c))
+    counts = rows.agg(F.count("*").alias("samples"), F.count_if("titled").alias("with_title"), F.count("chars").alias("with_text"))
+    zero = F.lit(0.0)
+    return counts.join(middle("chars")).join(middle("ratio")).select("samples", "with_title", "with_text", F.floor(F.coalesce("chars", zero)).alias("median_chars"), F.round(F.coalesce("ratio", zero), 2).alias("median_ratio"))
+
+
+def scrape_totals(records: DataFrame, source: str = "source") -> DataFrame:
+    """(source, n): the records of each source, and of all under a null source."""
+    return records.rollup(source).agg(F.count("*").alias("n"), F.grouping(source).alias("__all")).filter((F.col("__all") == 1) | F.col(source).isNotNull()).drop("__all")
+
+
+def progress_summary(entries: DataFrame, within: Column) -> DataFrame:
+    """(entries, within, total_duration, total_bytes) of media entries with duration and bytes; ``within`` tells which pass."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}")
+    return entries.agg(F.count("*").alias("entries"), F.count_if(within).alias("within"), total("duration"), total("bytes"))

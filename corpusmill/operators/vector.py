@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import stored
+
 #: Queries that go to every task at once, at most.
 BROADCAST_QUERIES = 10_000
 
@@ -31,10 +34,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: str | Column
     """(query_id, id, distance, score, rank): the nearest rows by squared Euclidean distance, after the filter."""
     if where is not None:
         vectors = vectors.filter(where)
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     side = queries.select("query_id", F.col("vector").alias("query"))
-    pairs = vectors.select("id", "vector").join(F.broadcast(side) if few else side)
-    return _best(pairs.select("query_id", "id", squared_l2("vector", "query").alias("distance")), k)
+    blocks = max(1, -(-side.count() // BROADCAST_QUERIES))
+    if blocks > 1:  # by ranges of their hashes, so that no block is much larger than the others
+        side = stored(side.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))), "queries")
+    parts = [side.filter(F.col("block") == b).drop("block") for b in range(2 * blocks)] if blocks > 1 else [side]
+    # every block of queries goes to all tasks and meets all rows
+    found = [_best(vectors.select("id", "vector").join(F.broadcast(q)).select("query_id", "id", squared_l2("vector", "query").alias("distance")), k) for q in parts]
+    return reduce(DataFrame.unionByName, found)
 
 
 def fit_partitions(vectors: DataFrame, n: int, seed: int = 3, sample: int = 20_000):

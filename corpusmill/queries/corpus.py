@@ -17,14 +17,14 @@ from .text import SP, SQL_LINES, SQL_TITLE, documents, first_line
 
 
 def records(spark, sf_dir):
-    """Documents as clean records: bucket = lang, topics = the first words of the text, joined."""
-    topics = F.array_join(F.slice(F.split(F.lower(first_line()), "[^\\p{L}]+"), 1, 3), "|")
+    """Documents as clean records: bucket = lang, topics = the words of the first line, joined."""
+    topics = F.array_join(F.split(F.lower(first_line()), "[^\\p{L}]+"), "|")
     return documents(spark, sf_dir).select("doc_id", "text", "lang", "source", topics.alias("topics"), first_line().alias("title"), tx.word_count(F.col("text")).alias("word_count"), tx.line_count(F.col("text")).alias("line_count"))
 
 
 _WORDS = rf"len(list_filter(string_split_regex(text, '{SP}+'), lambda w: w <> ''))"
 _LINES = rf"len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{SP}+', '', 'g') <> ''))"
-_TOPICS = rf"array_to_string(list_slice(string_split_regex(lower({SQL_TITLE}), '[^\p{{L}}]+'), 1, 3), '|')"
+_TOPICS = rf"array_to_string(string_split_regex(lower({SQL_TITLE}), '[^\p{{L}}]+'), '|')"
 _R = f"r AS (SELECT doc_id, text, lang, source, {_TOPICS} AS topics, {SQL_TITLE} AS title, {_WORDS} AS word_count, {_LINES} AS line_count FROM documents)"
 
 
@@ -71,11 +71,11 @@ def categorize_rules(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT n_name AS needle, 'nation' || (n_nationkey % 5) AS category, n_nationkey AS ord, left(n_name, 2) AS s FROM nation),
- h AS (SELECT doc_id, min_by(category, ord) AS hit FROM documents JOIN n ON contains(upper(left(text, 100)), n.s) GROUP BY doc_id)
+ h AS (SELECT doc_id, min_by(category, ord) AS hit FROM documents JOIN n ON contains(upper(text), n.s) GROUP BY doc_id)
  SELECT doc_id, coalesce(hit, lang) AS category FROM documents LEFT JOIN h USING (doc_id)""")
 def categorize_by_rule_table(spark, sf_dir):
     """Rules from a table: two letters of nations' names as needles."""
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.lit("all").alias("source"), F.upper(F.left("text", F.lit(100))).alias("haystack"), F.col("lang").alias("primary"))
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.lit("all").alias("source"), F.upper("text").alias("haystack"), F.col("lang").alias("primary"))
     rules = table(spark, sf_dir, "nation").select(F.lit("all").alias("source"), F.col("n_nationkey").alias("ord"), F.left("n_name", F.lit(2)).alias("needle"), F.concat(F.lit("nation"), (F.col("n_nationkey") % 5).cast("string")).alias("category"))
     return ct.categorize_by_table(rows, rules).select(F.col("seq").alias("doc_id"), "category")
 

@@ -33,7 +33,7 @@ def link_select(spark, sf_dir):
 @query(f"WITH {_LINKS} SELECT page_id, ord::INT AS ord, CASE WHEN ord % 3 = 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || link WHEN ord % 3 = 1 THEN regexp_extract(url, '^([a-z]+://[^/?#]*[^?#]*/)[^/?#]*', 1) || substr(link, 2) ELSE link END AS link FROM (SELECT page_id, url, ord, CASE WHEN ord % 3 = 2 THEN 'https://x.org' || link ELSE link END AS link FROM l)")
 def link_resolve(spark, sf_dir):
     rows = pg.links(pages(spark, sf_dir))
-    link = F.when(F.col("ord") % 3 == 2, F.concat(F.lit("https://x.org"), "link")).when(F.col("ord") % 3 == 1, F.substring("link", 2, 1000)).otherwise(F.col("link"))
+    link = F.when(F.col("ord") % 3 == 2, F.concat(F.lit("https://x.org"), "link")).when(F.col("ord") % 3 == 1, F.substr(F.col("link"), F.lit(2))).otherwise(F.col("link"))
     return rows.select("page_id", "ord", pg.resolve(F.col("url"), link).alias("link"))
 
 
@@ -50,12 +50,12 @@ def url_classify(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", "url", discovery.classify_url(F.col("url")).alias("c")).select("page_id", "url", "c.type", "c.template", "c.confidence")
 
 
-_HITS = f"h AS (SELECT page_id AS ord, url, {_HOST} AS site, left(html, 30) AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE left(html, 15) END AS snippet, ['google', 'bing'][(page_id % 2 + 1)::INT] AS engine FROM pages)"
+_HITS = f"h AS (SELECT page_id AS ord, url, {_HOST} AS site, html AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS snippet, ['google', 'bing'][(page_id % 2 + 1)::INT] AS engine FROM pages)"
 
 
 def _hits(spark, sf_dir):
     n = F.col("page_id")
-    return pages(spark, sf_dir).select(n.alias("ord"), "url", F.left("html", F.lit(30)).alias("title"), F.when(n % 3 == 0, "").otherwise(F.left("html", F.lit(15))).alias("snippet"), F.element_at(F.array(F.lit("google"), F.lit("bing")), (n % 2 + 1).cast("int")).alias("engine"))
+    return pages(spark, sf_dir).select(n.alias("ord"), "url", F.col("html").alias("title"), F.when(n % 3 == 0, "").otherwise(F.col("html")).alias("snippet"), F.element_at(F.array(F.lit("google"), F.lit("bing")), (n % 2 + 1).cast("int")).alias("engine"))
 
 
 @query(f"""WITH {_HITS}, g AS (SELECT site, min_by(url, ord) AS url, count(*) AS n_hits, bool_or(engine = 'google') AS q, bool_or(trim(snippet) <> '') AS s, string_split(site, '.') AS p FROM h WHERE site NOT LIKE 'm.%' GROUP BY site),
@@ -106,14 +106,17 @@ def page_records(spark, sf_dir):
     return pg.extract_records(pages(spark, sf_dir), record, fields).select("page_id", "record_no", "title", F.sha2("text", 256).alias("text"))
 
 
-@query("SELECT page_id, 0 AS record_no, nullif(trim(regexp_extract(html, '<title>([^<&]*)</title>', 1)), '') AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*[^<& ][^<&]*</title>')")
+#: The character references that titles hold.
+_TITLE = """replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+@query(f"SELECT page_id, 0 AS record_no, trim({_TITLE}) AS title FROM pages WHERE trim({_TITLE}) <> ''")
 def page_titles(spark, sf_dir):
-    """Titles without character references, by the selector engine."""
-    plain = pages(spark, sf_dir).filter(F.rlike("html", F.lit("<title>[^<&]*[^<& ][^<&]*</title>")))
-    return pg.extract_records(plain, "head", {"title": pg.FieldSpec("title")}).select("page_id", "record_no", "title")
+    title = F.trim(pg.page_title(F.col("html")))
+    return pages(spark, sf_dir).select("page_id", F.lit(0).alias("record_no"), title.alias("title")).filter("title <> ''")
 
 
-@query("SELECT page_id, title FROM (SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<&]*)</title>', 1)), '') AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*[^<& ][^<&]*</title>')) ORDER BY page_id LIMIT 5")
+@query(f"SELECT page_id, trim({_TITLE}) AS title FROM pages WHERE trim({_TITLE}) <> '' ORDER BY page_id LIMIT 5")
 def preview_sample(spark, sf_dir):
     return pg.preview(page_titles(spark, sf_dir), 5, order="page_id").select("page_id", "title")
 
@@ -134,12 +137,12 @@ def failure_log(spark, sf_dir):
     return io.failures(pages(spark, sf_dir).select("url", F.col("html").alias("reason"), F.col("page_id").cast("string").alias("at")))
 
 
-@query("SELECT count(*) AS urls, count(*) FILTER (WHERE page_id % 7 = 0) AS missing_html, 0::BIGINT AS no_records FROM pages WHERE page_id % 2 = 0")
+@query("SELECT count(*) AS urls, count(*) FILTER (WHERE page_id % 7 = 0) AS missing_html, 0::BIGINT AS no_records FROM pages")
 def re_extract_counts(spark, sf_dir):
     """Pages logged twice, the later body counting; every seventh body is missing from the store."""
     rows = pages(spark, sf_dir)
     now = F.sha2("html", 256)
     index = rows.select("url", F.lit("old").alias("hash"), F.lit(0).alias("seq")).unionByName(rows.select("url", now.alias("hash"), F.lit(1).alias("seq")))
     store = rows.filter("page_id % 7 > 0").select(now.alias("hash"), "html")
-    _, counts = pg.re_extract(index, store, rows.filter("page_id % 2 = 0"), "html", {"title": pg.FieldSpec("title"), "text": pg.FieldSpec("body")})
+    _, counts = pg.re_extract(index, store, rows, "html", {"title": pg.FieldSpec("title"), "text": pg.FieldSpec("body")})
     return counts

@@ -43,9 +43,9 @@ def script_ratio_lang(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.round(tx.script_ratio(text, ACCENTED), 9).alias("ratio"), tx.language(text, ACCENTED, "accented", 0.05).alias("lang"))
 
 
-@query(rf"SELECT doc_id, nullif(regexp_replace(regexp_replace(left(text, 200), '{SP}+', ' ', 'g'), '^{SP}+|{SP}+$', '', 'g'), '') AS title FROM documents")
+@query(rf"SELECT doc_id, nullif(regexp_replace(regexp_replace(text, '{SP}+', ' ', 'g'), '^{SP}+|{SP}+$', '', 'g'), '') AS title FROM documents")
 def title_space(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.clean_title_space(F.left("text", F.lit(200))).alias("title"))
+    return documents(spark, sf_dir).select("doc_id", tx.clean_title_space(F.col("text")).alias("title"))
 
 
 @query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '  ' || chr(10) || chr(10) || chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[\p{{Zs}}\t\f\r\x0B]+$', '', 'g'), '^{SP}+|{SP}+$', '', 'g') AS text FROM documents""")
@@ -114,10 +114,10 @@ def quality_filter(spark, sf_dir):
     return rows.select("doc_id", rl.reject_reason(F.col("text"), rules).alias("reject_reason"))
 
 
-@query(r"SELECT page_id, regexp_matches(text, 'https?://\S+') AND length(replace(text, ' ', '')) < 80 AS dominated FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'see ' ELSE url || ' ' END || left(regexp_replace(html, '<[^>]*>', '', 'g'), (page_id % 90)::INT) AS text FROM pages)")
+@query(r"SELECT page_id, regexp_matches(text, 'https?://\S+') AND length(replace(text, ' ', '')) < 80 AS dominated FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'see ' ELSE url || ' ' END || CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_replace(html, '<[^>]*>', '', 'g') END AS text FROM pages)")
 def url_dominated_filter(spark, sf_dir):
     start = F.when(F.col("page_id") % 4 == 0, "see ").otherwise(F.concat("url", F.lit(" ")))
-    body = F.left(F.regexp_replace("html", "<[^>]*>", ""), (F.col("page_id") % 90).cast("int"))
+    body = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_replace("html", "<[^>]*>", ""))
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(start, body).alias("text"))
     return rows.select("page_id", rl.url_dominated(F.col("text")).alias("dominated"))
 

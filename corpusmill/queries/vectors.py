@@ -37,13 +37,22 @@ def knn_partitioned(spark, sf_dir):
     return vector.knn_partitioned(vectors(spark, sf_dir), asked(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
+@query("SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def knn_partitioned_recall(spark, sf_dir):
+    """Whether the partitioned search finds at least nine tenths of what the exact one finds."""
+    keys = ["query_id", "id"]
+    exact, near = (f(spark, sf_dir).select(*keys) for f in (knn_l2, knn_partitioned))
+    both = exact.join(near.withColumn("found", F.lit(True)), keys, "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+    return asked(spark, sf_dir).agg(F.count("*").alias("asked")).join(both)
+
+
 @query("""WITH r AS (SELECT conv_id, min(text) FILTER (WHERE turn = 0) AS request FROM conversations GROUP BY conv_id),
- h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank, role, text FROM conversations WHERE turn > 0 AND conv_id % 3 > 0),
- e AS (SELECT conv_id, string_agg('[example ' || rank || ' — ' || role || ' · ]' || chr(10) || CASE WHEN length(text) > 100 THEN left(text, 100) || ' …' ELSE text END, chr(10) || chr(10) ORDER BY rank) AS examples FROM h WHERE rank <= 3 GROUP BY conv_id)
+ h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank, role, text FROM conversations WHERE turn > 0),
+ e AS (SELECT conv_id, string_agg('[example ' || rank || ' — ' || role || ' · ]' || chr(10) || CASE WHEN length(text) > 1200 THEN left(text, 1200) || ' …' ELSE text END, chr(10) || chr(10) ORDER BY rank) AS examples FROM h WHERE rank <= 3 GROUP BY conv_id)
  SELECT conv_id AS query_id, CASE WHEN examples IS NULL THEN request ELSE 'Examples:' || chr(10) || chr(10) || examples || chr(10) || chr(10) || 'Request:' || chr(10) || request END AS prompt FROM r LEFT JOIN e USING (conv_id)""")
 def prompt_assembly(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query_id")
     requests = turns.groupBy("query_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("request"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "role", "text"))
-    hits = turns.filter("turn > 0 AND query_id % 3 > 0").withColumn("rank", place).filter("rank <= 3")
-    return vector.prompts(hits.select("query_id", "rank", F.col("role").alias("bucket"), F.lit(None).cast("string").alias("title"), "text"), requests, 100)
+    hits = turns.filter("turn > 0").withColumn("rank", place).filter("rank <= 3")
+    return vector.prompts(hits.select("query_id", "rank", F.col("role").alias("bucket"), F.lit(None).cast("string").alias("title"), "text"), requests)
