@@ -15,24 +15,32 @@ from pyspark.sql import functions as F
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go. Null and empty texts stay, repeated rows fare alike; without labels the prior
+    weights and an empty lexicon let all stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.remove_toxic(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Lines that an earlier document holds too go; n_chars, where documents have it, follows. A null text stays null, repeated
+    ids lose no lines to each other, an empty table stays empty."""
+    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near fingerprints, that with the smallest id stays. Null and empty texts are near each other;
+    rows that repeat the smallest id all stay, and so do rows without an id."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words in benchmark windows go. Null and empty texts stay; repeated rows fare alike."""
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and digests of them and of the decoded text; a null text has no ids and decodes to ''."""
     model = tokenizer("piece_bpe_32k.model")
     tokens = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
     return tokens.select(
