@@ -122,6 +122,14 @@ def shingles(text: Column, k: int = 5) -> Column:
     return F.array_distinct(F.flatten(F.transform(chars, runs)))
 
 
+def shingle_hashes(text: Column, k: int = 5) -> Column:
+    """64-bit hashes of the distinct runs of k code points, without the runs themselves."""
+    last = lambda cs: F.greatest(F.size(cs) - k, F.lit(0))
+    hashes = lambda cs: F.transform(F.sequence(F.lit(0), last(cs)), lambda i: F.xxhash64(*(F.get(cs, i + j) for j in range(k))))
+    chars = F.transform(F.filter(F.array(text), lambda t: t != ""), lambda t: F.split(t, "", -1))
+    return F.array_distinct(F.flatten(F.transform(chars, hashes)))
+
+
 def clean_labels(labels: Column, drop_starts: str = "المزيد", drop_equal: str = "متابعة", sep: str = "|") -> Column:
     """Trimmed non-empty labels of a joined string, without link texts and buttons; null when none is left."""
     parts = F.transform(F.split(labels, f"[{sep}]"), lambda x: F.trim(x))
