@@ -274,7 +274,9 @@ def fit(tree: Tree, encoded: DataFrame, min_context: float = MIN_CONTEXT, min_ne
         depth = len(values) + 1
         common = level.filter(F.col("n") >= least_context)
         if depth < TOGETHER or (depth - TOGETHER) % 2 == 0:  # deep contexts are few: two depths share a pass over the texts
-            raw = _grams(encoded, tree.vocabulary, depth, sieve(common), sieve(level.filter(F.col("n") >= least)), least, depth >= TOGETHER)
+            contexts = sieve(common)
+            lowers = contexts if least == least_context else sieve(level.filter(F.col("n") >= least))
+            raw = _grams(encoded, tree.vocabulary, depth, contexts, lowers, least, depth >= TOGETHER)
         contexts = common.select(F.col("name").alias("context"), F.col("lower").alias("suffix"), F.col("n").alias("all"))
         grams = raw.join(contexts, "context").join(level.select(F.col("name").alias("lower"), F.col("p").alias("low")), "lower")
         grams = written(grams.select("name", "context", "lower", "n", "low", "suffix", "all"), "grams-lower")
