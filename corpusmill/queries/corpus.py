@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import browse, curation, incremental, stats
 from ..operators import categorize as ct
 from ..operators import dedup as dd
-from ..scratch import scratch_path
+from ..scratch import scratch_path, stored
 from ..sources import io
 from ..streaming import corpus as st
 from .registry import query, table
@@ -38,6 +38,7 @@ def clean_slice(spark, sf_dir):
     """Normalise, filter, exact deduplication with provenance."""
     rules = rl.CleanRules(min_script_ratio=0.0, drop_url_dominated=False)
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.col("lang").alias("bucket"), "source", F.lit(None).cast("string").alias("source_url"), rl.clean_text(F.col("text"), rules)[0].alias("text"))
+    rows = stored(rows, "cleaned")  # read by several branches
     kept = rows.filter(rl.reject_reason(F.col("text"), rules).isNull()).withColumn("id", tx.content_id(F.lit(None), F.col("text")))
     firsts = dd.provenance(kept, ["bucket", "id"])
     text = kept.select(F.col("seq").alias("survivor_seq"), tx.word_count(F.col("text")).alias("word_count"), tx.line_count(F.col("text")).alias("line_count"))
@@ -371,7 +372,7 @@ def streaming_facet_counts(spark, sf_dir):
     """The documents as a stream, counted as they arrive."""
     docs = documents(spark, sf_dir)
     rows = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")
-    return st.to_memory(st.running_counts(rows, "lang", "source"), "facet_counts_now")
+    return st.to_table(st.running_counts(rows, "lang", "source"), scratch_path(spark, "running-counts"))
 
 
 @query("SELECT lang, left(sha256(text), 16) AS id FROM documents GROUP BY ALL")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import rules as rl
 from ..functions import text as tx
 from ..functions.repair import repaired
+from ..scratch import stored
 from .registry import query, table
 
+
 def first_line():
     """A document's first line stands in for its title."""
     return F.element_at(F.split("text", "\n", -1), 1)
@@ -110,7 +112,7 @@ def default_channel_rules(spark, sf_dir):
  WHEN len(regexp_extract_all(text, '[{ACCENTED}]')) / length(regexp_replace(text, '{SP}', '', 'g'))::DOUBLE < 0.02 THEN 'ratio' END AS reject_reason FROM c""")
 def quality_filter(spark, sf_dir):
     rules = rl.default_rules("telegram_web").extended(min_chars=100, min_lines=2, min_script_ratio=0.02, script=ACCENTED)
-    rows = documents(spark, sf_dir).select("doc_id", rl.clean_text(F.col("text"), rules)[0].alias("text"))
+    rows = stored(documents(spark, sf_dir).select("doc_id", rl.clean_text(F.col("text"), rules)[0].alias("text")), "cleaned")  # tested several times
     return rows.select("doc_id", rl.reject_reason(F.col("text"), rules).alias("reject_reason"))
 
 

@@ -62,7 +62,7 @@ def test_minhash_recall(spark):
     frame = spark.createDataFrame(rows, "bucket string, seq long, text string")
     exact = {(r.a, r.b) for r in dedup.jaccard_pairs(frame).collect()}
     quick = {(r.a, r.b) for r in dedup.minhash_pairs(frame).collect()}
-    assert exact and quick <= exact and len(quick) >= 0.7 * len(exact)
+    assert exact and quick <= exact and len(quick) >= 0.9 * len(exact)
 
 
 def test_clean_stage(spark):
@@ -143,8 +143,8 @@ def test_partitioned_search_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
     asked = frame.filter("id % 50 = 0").selectExpr("id AS query_id", "vector")
     exact = {(r.query_id, r.id) for r in vector.knn(frame, asked).collect()}
-    near = {(r.query_id, r.id) for r in vector.knn_partitioned(frame, asked, partitions=8, probes=6).collect()}
-    assert len(exact & near) >= 0.8 * len(exact)
+    near = {(r.query_id, r.id) for r in vector.knn_partitioned(frame, asked).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
 
 
 def test_registered_searches_recall(spark):
@@ -162,3 +162,55 @@ def test_frontier_and_cap(spark):
     known = spark.createDataFrame([("b",)], "url string")
     assert [r.url for r in incremental.frontier(links, known).collect()] == ["a", "c"]
     assert [r.url for r in incremental.frontier(links, known, force=True, most=2).collect()] == ["a", "b"]
+
+
+def test_running_totals_cross_ranges(spark):
+    from corpusmill.operators import order
+
+    rows = spark.range(1000).selectExpr("id % 3 AS g", "id AS k", "CAST(id % 7 AS BIGINT) AS v").repartition(5)
+    got = {(r.g, r.k): r.total for r in order.running_total(rows, ["k"], F.col("v"), "total", ("g",)).collect()}
+    want, sums = {}, {}
+    for k in range(1000):
+        sums[k % 3] = sums.get(k % 3, 0) + k % 7
+        want[k % 3, k] = sums[k % 3]
+    assert got == want
+    assert order.medians(rows.selectExpr("IF(k < 6, k, NULL) AS x"), "x").first() == (6, 2.5)
+    assert order.medians(rows.filter("false"), "v").first() == (0, None)
+
+
+def test_queries_in_blocks_find_the_same(spark, monkeypatch):
+    frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    asked = frame.filter("id % 7 = 0").selectExpr("id AS query_id", "vector")
+    whole = sorted(map(tuple, vector.knn(frame, asked, 3).collect()))
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 5)
+    assert sorted(map(tuple, vector.knn(frame, asked, 3).collect())) == whole != []
+
+
+def test_meta_keeps_nulls_of_channel_posts(spark):
+    from corpusmill.operators.categorize import projected_meta
+
+    rows = spark.createDataFrame([("telegram", "1", None), ("aldiwan", "1", ""), ("fixture", "1", "t"), ("x", "1", "t")], "source_kind string, post_id string, topics string")
+    got = {r.source_kind: r.meta for r in rows.select("source_kind", projected_meta(rows).alias("meta")).collect()}
+    assert got["telegram"] == {"post_id": "1", "published_at": None, "views": None, "channel": None}
+    assert got["aldiwan"] == got["fixture"] == {} and got["x"] == {"post_id": "1", "topics": "t"}
+
+
+def test_transcript_providers_by_name(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"video_id": "v", "text": "b"}\n{"video_id": "v", "text": "a"}\n{"video_id": "w", "text": ""}\n')
+    assert [tuple(r) for r in io.read_transcripts(spark, "json", path=f"file:{tmp_path}/t.jsonl").collect()] == [("v", "a")]
+    with pytest.raises(ValueError):
+        io.read_transcripts(spark, "nobody")
+
+
+def test_stream_cleaning_by_force(spark, tmp_path):
+    from corpusmill.streaming import corpus as st
+
+    schema = "seq long, source string, source_type string, title string, text string, source_url string, subject string"
+    rows = [(i, "s", "x_syndication", None, f"a text of enough characters, number {i}" if i else "short", None, "x") for i in range(4)]
+    rules = {"x_syndication": rl.CleanRules(min_script_ratio=0.0)}
+    log, out, state = (f"file:{tmp_path}/{n}" for n in ("log", "out", "state"))
+    for k in range(3):
+        if k < 2:
+            spark.createDataFrame(rows[2 * k : 2 * k + 2], schema).write.mode("append").parquet(log)
+        st.clean_increment(st.read_log(spark, log, schema), out, state, rules, force=k == 2)
+        assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [1, 2, 3][: 1 if k == 0 else 3]
