@@ -12,9 +12,10 @@ of the class seen, 0.5 without any. The columns named by the caller are carried
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +24,79 @@ from pyspark.sql import types as T
 
 from .common import partitions, text_slices
 from .labelled import PER_CLASS, labelled_sample
+from .words import SLICE_CHARS, finished, span_keys
 
 BUCKETS, DIM, NONZERO, REACH, HIDDEN = 1 << 15, 64, 8, 2, 32
-TOKEN = re.compile(r"\w+|[^\w\s]+")
 SHAPES = ("upper", "symbol", "repeat", "distinct", "length", "lines")
 
 
-def index_vectors(seed: int = 17) -> np.ndarray:
-    """Of each bucket, a sparse vector of as many +1 as -1 in random places."""
-    rng = np.random.default_rng(seed)
-    places = rng.random((BUCKETS, DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO]
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    np.put_along_axis(out, places, np.tile(np.float32([1, -1]), (BUCKETS, NONZERO // 2)), 1)
-    return out
-
-
-class Tokens:
-    """Texts as buckets and shapes, with a bounded memory of tokens seen."""
+#: Signs of a bucket's index vector in its places.
+SIGNS = np.tile([1.0, -1.0], NONZERO // 2)
 
-    def __init__(self, max_tokens: int = 300_000):
-        self.max_tokens, self.bucket = max_tokens, {}
 
-    def of(self, text: str) -> tuple[np.ndarray, list[float]]:
-        import xxhash
-
-        words = TOKEN.findall(text)
-        if not words:
-            return np.empty(0, np.int64), [0.0] * len(SHAPES)
-        distinct, bucket = set(words), self.bucket
-        if len(bucket) > self.max_tokens:
-            bucket.clear()
-        for w in distinct.difference(bucket):
-            shape = 1 if len(w) > 1 and w.isupper() else 2 if not w[0].isalnum() else 0
-            bucket[w] = (xxhash.xxh32_intdigest(w.lower()) % BUCKETS) << 2 | shape
-        both = np.fromiter(map(bucket.__getitem__, words), np.int64, len(words))
-        n, shape, at = len(words), both & 3, both >> 2
-        lines = text.count("\n") + 1
-        return at, [(shape == 1).sum() / n, (shape == 2).sum() / n, (at[1:] == at[:-1]).sum() / n, len(distinct) / n, np.log1p(n) / 10, lines / n]
+def index_places(seed: int = 17) -> np.ndarray:
+    """Of each bucket, the random places in which its sparse index vector isn't zero, as many +1 as -1."""
+    rng = np.random.default_rng(seed)
+    return rng.random((BUCKETS, DIM)).argpartition(NONZERO, axis=1)[:, :NONZERO]
+
+
+@lru_cache(maxsize=1)
+def _characters() -> dict[str, np.ndarray]:
+    """Of each code point: its class (0 white space, 1 part of a word, 2 other), marks of case, and values to hash by."""
+    every = [chr(k) for k in range(sys.maxunicode + 1)]
+    mark = lambda f: np.fromiter(map(f, every), bool, len(every))
+    letter, upper = mark(str.isalnum), mark(str.isupper)
+    small = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every), np.int64, len(every))
+    word = letter.copy()
+    word[ord("_")] = True
+    return {
+        "class": np.where(mark(str.isspace), 0, np.where(word, 1, 2)).astype(np.int8),
+        "symbol": ~letter,
+        "upper": upper,
+        "other_case": (mark(str.islower) | mark(str.istitle)) & ~upper,
+        "value": finished(np.arange(1, len(every) + 1, dtype=np.uint64))[small],
+    }
+
+
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each token, number of tokens of each text, shapes of each text). Tokens are runs of word characters and runs
+    of others that aren't white space, whatever their case."""
+    ends = np.cumsum([len(t) for t in texts])
+    parts, start = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(SHAPES))))], 0
+    while start < len(texts):  # as many texts at once as stay in a core's cache
+        to = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_CHARS, "right")))
+        parts.append(_tokens(texts[start:to]))
+        start = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    about = _characters()
+    joined = "\n".join([*texts, ""])
+    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    kind = about["class"][code]
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    edges = np.concatenate([[0], edge, [len(code)]])
+    full = kind[edges[:-1]] > 0
+    starts, ends = edges[:-1][full], edges[1:][full]
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    n = np.diff(np.searchsorted(starts, bounds))
+    of = np.repeat(np.arange(len(texts)), n)
+    keys = span_keys(code, starts, ends, about["value"])
+    at = keys & (BUCKETS - 1)
+    inside = lambda c: (total := np.concatenate([[0], np.cumsum(about[c][code])]))[ends] - total[starts]
+    upper = (ends - starts > 1) & (inside("upper") > 0) & (inside("other_case") == 0)
+    symbol = ~upper & about["symbol"][code[starts]]
+    repeat = np.zeros(len(at), bool)
+    repeat[1:] = (at[1:] == at[:-1]) & (of[1:] == of[:-1])
+    named = finished(keys.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    distinct = np.bincount(of[np.unique(named, return_index=True)[1]], minlength=len(texts))
+    shapes = np.zeros((len(texts), len(SHAPES)))
+    some = n > 0
+    share = lambda marks: np.bincount(of, marks, len(texts))[some] / n[some]
+    lines = np.array([t.count("\n") + 1 for t in texts])
+    shapes[some] = np.stack([share(upper), share(symbol), share(repeat), distinct[some] / n[some], np.log1p(n[some]) / 10, lines[some] / n[some]], 1)
+    return at, n, shapes
 
 
 @dataclass
@@ -72,18 +109,17 @@ class Model:
     temperature: float = 1.0
     constant: float | None = None
 
-    def pool(self, texts: list[str], tokens: Tokens) -> np.ndarray:
+    def pool(self, texts: list[str]) -> np.ndarray:
         """One row for each text: its mean word vector and its shapes."""
-        parts = [tokens.of(t) for t in texts]
+        at, n, shapes = tokens_of(texts)
         pooled = np.zeros((len(texts), DIM))
-        for k, (at, _) in enumerate(parts):
-            total = np.zeros(DIM)
-            for a in range(0, len(at), 20_000):
-                some = at[a : a + 20_000]
-                total += self.weights[some] @ self.vectors[some]
-            if len(at):
-                pooled[k] = total / self.weights[at].sum()
-        return np.concatenate([pooled, np.array([s for _, s in parts]).reshape(len(texts), len(SHAPES))], 1)
+        for k, (first, last) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n))):
+            for a in range(first, last, 20_000):
+                some = at[a : min(last, a + 20_000)]
+                pooled[k] += self.weights[some] @ self.vectors[some]
+            if last > first:
+                pooled[k] /= self.weights[at[first:last]].sum()
+        return np.concatenate([pooled, shapes], 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -106,24 +142,19 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), packed], names=["bucket", "n", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tokens = index_vectors().astype(np.int64), Tokens()
-        sums, counts = np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, np.int64)
+        places = index_places()
+        sums, counts = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)  # whole numbers, which floats hold exactly
         for _, texts in text_slices(batches, text):
-            pairs, seen = [], []
-            for t in texts:
-                at, _ = tokens.of(t)
-                seen.append(at)
-                for k in range(1, REACH + 1):
-                    pairs += [at[:-k] * BUCKETS + at[k:], at[k:] * BUCKETS + at[:-k]]
-            if pairs:
-                counts += np.bincount(np.concatenate(seen), minlength=BUCKETS)
-                pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-                word, first = np.unique(pair // BUCKETS, return_index=True)
-                for a in range(0, len(word), 500):
-                    low, high = first[a], first[a + 500] if a + 500 < len(word) else len(pair)
-                    near = index[pair[low:high] % BUCKETS] * n[low:high, None]
-                    if len(near):
-                        sums[word[a : a + 500]] += np.add.reduceat(near, first[a : a + 500] - low)
+            at, n, _ = tokens_of(texts)
+            of = np.repeat(np.arange(len(n)), n)
+            counts += np.bincount(at, minlength=BUCKETS)
+            for k in range(1, REACH + 1):
+                beside = np.flatnonzero(of[k:] == of[:-k])
+                for mine, other in ((at[beside], at[beside + k]), (at[beside + k], at[beside])):
+                    for a in range(0, len(mine), 500_000):
+                        spots = mine[a : a + 500_000, None] * DIM + places[other[a : a + 500_000]]
+                        sums += np.bincount(spots.ravel(), np.broadcast_to(SIGNS, spots.shape).ravel(), BUCKETS * DIM)
+        sums = sums.astype(np.int64).reshape(BUCKETS, DIM)
         yield from rows(sums, counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for cut, texts in text_slices(batches, "text"):
-            x = shared.value.pool(texts, tokens)
+            x = shared.value.pool(texts)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), cut.column("label")], names=["x", "label"])
 
     table = sample.mapInArrow(run, "x array<double>, label int").toArrow()  # the bounded sample's vectors
@@ -210,8 +240,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for cut, texts in text_slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.array(shared.value.score(shared.value.pool(texts, tokens)))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.array(shared.value.score(shared.value.pool(texts)))], names=[*keep, name])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import zlib
 
 import corpus_pipeline
@@ -213,15 +214,32 @@ def test_entries_near_to_ordinary_words_allow_no_edits(spark):
 
 def test_quality_equals_a_plain_one(spark):
     rng = np.random.default_rng(4)
-    words = [f"w{k}" for k in range(40)] + ["!!", "UP", "été"]
+    words = [f"w{k}" for k in range(40)] + ["!!", "UP", "été", "a_b,c", "_x", "Été\n", "日本", "ǅa", "ÀÉ-"]
     texts = [" ".join(words[k] for k in rng.integers(0, len(words), rng.integers(0, 60))) for _ in range(150)]
     docs = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)], "doc_id long, quality int")
     model = quality.train(docs, labels)
-    index, tokens = quality.index_vectors().astype(float), quality.Tokens()
+    index = np.zeros((quality.BUCKETS, quality.DIM))
+    np.put_along_axis(index, quality.index_places(), np.broadcast_to(quality.SIGNS, (quality.BUCKETS, quality.NONZERO)), 1)
     assert (index.sum(1) == 0).all() and (np.abs(index).sum(1) == quality.NONZERO).all()
     sums, counts = np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
-    parts = [tokens.of(t) for t in texts]
+    every, n, shapes = quality.tokens_of(texts)
+    assert quality.tokens_of([])[0].size == 0
+    parts = list(zip(np.split(every, np.cumsum(n)[:-1]), shapes))
+    names = {}
+    for t, (at, shape) in zip(texts, parts):
+        found = re.findall(r"\w+|[^\w\s]+", t)
+        assert len(found) == len(at)
+        for w, b in zip(found, at.tolist()):
+            assert names.setdefault(w.lower(), b) == b
+        if found:
+            upper, symbol = sum(len(w) > 1 and w.isupper() for w in found), sum(not w[0].isalnum() for w in found)
+            again = sum(a == b for a, b in zip(at[1:].tolist(), at.tolist()))
+            plain = [upper / len(found), symbol / len(found), again / len(found), len({w.lower() for w in found}) / len(found), math.log1p(len(found)) / 10, (t.count("\n") + 1) / len(found)]
+            assert np.allclose(shape, plain)
+        else:
+            assert not shape.any()
+    assert len(set(names.values())) > 0.9 * len(names)
     for at, _ in parts:
         for k, b in enumerate(at.tolist()):
             counts[b] += 1
