@@ -239,6 +239,21 @@ def test_suffix_tree_keeps_rare_and_deep_contexts(spark, monkeypatch, frequent,
         assert got[i] == pytest.approx(want[i], abs=1e-6), i
 
 
+def test_suffix_tree_of_six_tokens_equals_a_plain_one(spark):
+    """A next token for each length of the context, so that contexts diverge at every depth, also at those counted together."""
+    import random
+
+    rng = random.Random(7)
+    tail = "a b c d e f".split()
+    docs = [" ".join([*rng.choices("p q r s".split(), k=5), *tail[6 - n :], f"z{n}", *rng.choices("p q r s".split(), k=3)]) for n in range(1, 7) for _ in range(80)]
+    states, want = plain_tree_scores([tuple(t.decode() for t in suffix_tree_lm.tokens_of(t)) for t in docs])
+    assert tuple(tail) in states and tuple(tail[1:]) in states
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(frame, suffix_tree_lm.train(frame)).collect()}
+    for i in range(len(docs)):
+        assert got[i] == pytest.approx(want[i], abs=1e-6), i
+
+
 def test_suffix_tree_grows_with_the_corpus(spark):
     """Contexts of six occurrences count among a million tokens too."""
     docs = spark.range(400).select("id", F.expr("repeat('filler ', 2500)").alias("text")).union(spark.range(400, 406).select("id", F.lit("rare name follows").alias("text")))
