@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
+from . import decontamination, embedding_dedup, line_dedup, prefix_trie, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
 from .labelled import held_out
 
 
@@ -86,6 +86,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.build(_table(spark, sf_dir, "conversations")).report()
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, pipeline)
+    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, op13_prefix_trie, pipeline)
     return {q.__name__: q for q in every}
 
 
@@ -139,6 +144,39 @@ r AS (WITH RECURSIVE c(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SEL
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN r ON r.a = vec_id
 """
 
+#: CRC-32 in SQL: a table of 256 remainders, eight steps each, then one look-up for each character of the decimal number.
+_CRC_STEP = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+_CRC_TABLE = "SELECT i, i AS v FROM range(256) AS r(i)"
+for _ in range(8):
+    _CRC_TABLE = f"SELECT i, {_CRC_STEP} AS v FROM ({_CRC_TABLE})"
+
+
+def sql_crc32(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal digits, where ``crc`` is (t), the list of remainders."""
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda s, c: xor(s >> 8, t[1 + (xor(s, c) & 255)])), 4294967295)"
+
+
+#: A node is the sequence of its turns' digests; pairs (node, node below it) come from conversations that have both.
+_OP13 = f"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM ({_CRC_TABLE})),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS p, k, n FROM
+  (SELECT conv_id, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS k, octet_length(encode(coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT c, c - c % 5 AS b, {sql_crc32('c')} % 9 AS h FROM (SELECT DISTINCT c FROM o), crc),
+r AS (SELECT c.c, o.p, o.k, o.n FROM c JOIN o ON o.c = c.b AND o.p < c.h UNION ALL SELECT c.c, o.p, o.k, o.n FROM c JOIN o ON o.c = c.c AND o.p >= c.h),
+s AS (SELECT c, row_number() OVER w AS d, string_agg(k, '') OVER w AS x, n FROM r WINDOW w AS (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT c, d, x, n FROM s UNION ALL SELECT c, 0, '', 0 FROM c),
+g AS (SELECT x, any_value(d) AS d, any_value(n) AS n, count(*) AS m, min(c) AS first, any_value(CASE WHEN d > 0 THEN left(x, -32) END) AS up FROM a GROUP BY x),
+kids AS (SELECT up AS x, count(*) AS kids FROM g WHERE up IS NOT NULL GROUP BY up),
+pairs AS (SELECT DISTINCT a.x, z.x AS y FROM a JOIN a z ON a.c = z.c AND z.d >= a.d),
+below AS (SELECT pairs.x, count(*) FILTER (WHERE kids.x IS NULL) AS leaves, sum((g.m - 1) * g.n) AS saved FROM pairs JOIN g ON g.x = pairs.y LEFT JOIN kids ON kids.x = pairs.y GROUP BY pairs.x),
+lasts AS (SELECT c, max(d) AS d FROM a GROUP BY c),
+ends AS (SELECT x, string_agg(a.c::VARCHAR, ',' ORDER BY a.c) AS ids FROM a JOIN lasts l ON a.c = l.c AND a.d = l.d GROUP BY x)
+SELECT g.first::BIGINT AS conv_id, g.d::BIGINT AS depth, u.first::BIGINT AS parent_conv_id, g.m::BIGINT AS n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g LEFT JOIN g u ON u.x = g.up LEFT JOIN kids ON kids.x = g.x JOIN below ON below.x = g.x LEFT JOIN ends ON ends.x = g.x
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op4_warc": _OP4, "op7_line_dedup": _OP7, "op10_embedding_dedup": _OP10}
+    return {"op3_decontamination": _OP3, "op4_warc": _OP4, "op7_line_dedup": _OP7, "op10_embedding_dedup": _OP10, "op13_prefix_trie": _OP13}
