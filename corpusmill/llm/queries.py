@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, prefix_trie, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
+from . import decontamination, embedding_dedup, line_dedup, periodic_runs, prefix_trie, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
 from .labelled import held_out
 
 
@@ -86,6 +86,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_table(spark, sf_dir, "documents"), plant="doc_id")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.build(_table(spark, sf_dir, "conversations")).report()
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -98,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, op13_prefix_trie, pipeline)
+    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, op11_periodic_runs, op13_prefix_trie, pipeline)
     return {q.__name__: q for q in every}
 
 
