@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, periodic_runs, prefix_trie, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
+from . import decontamination, embedding_dedup, line_dedup, periodic_runs, pii, prefix_trie, quality, sentencepiece_codec, simhash, suffix_tree_lm, token_files, toxicity, warc
 from .labelled import held_out
 
 
@@ -99,6 +99,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.build(_table(spark, sf_dir, "conversations")).report()
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -111,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, op11_periodic_runs, op13_prefix_trie, pipeline)
+    every = (op1_sentencepiece, op2_toxicity, op3_decontamination, op4_warc, op5_simhash, op6_suffix_tree_lm, op7_line_dedup, op8_quality, op9_token_files, op10_embedding_dedup, op11_periodic_runs, op12_pii, op13_prefix_trie, pipeline)
     return {q.__name__: q for q in every}
 
 
