@@ -1,7 +1,7 @@
 """Text expressions: Column in, Column out, all evaluated in the JVM.
 
 Regular expressions name their character classes outright, so that they mean the same in Java and in other engines. Lines
-are separated by newlines; a newline at the end starts no further line.
+are separated by any line break; one at the end starts no further line.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 SIGNATURE_MARKS = r"\x{064B}-\x{0670}\x{065F}\x{0640}"
 SPACE = r"\s\x0B\x1C-\x1F\x{0085}\p{Z}"
+BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
 
 
 def nonempty(value: Column) -> Column:
@@ -30,7 +31,7 @@ def trim_space(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    return F.split(F.regexp_replace(text, rf"(?:{BREAK})\z", ""), BREAK, -1)
 
 
 def join_lines(parts: Column) -> Column:
@@ -44,8 +45,8 @@ def clean_title_space(title: Column) -> Column:
 
 def clean_text_space(text: Column) -> Column:
     """At most one blank line in a row, no white space at line ends or around the text."""
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return trim_space(F.regexp_replace(text, r"(?dm)[\p{Zs}\t\f\r\x0B]+$", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), rf"(?!\n)(?:{BREAK})", "\n")
+    return trim_space(F.regexp_replace(text, r"(?dm)[\p{Zs}\t\x1F]+$", ""))
 
 
 def split_last(title: Column, separator: str = "»", if_starts_with: str | None = None) -> Column:

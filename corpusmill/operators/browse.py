@@ -22,6 +22,12 @@ def of_run(records: DataFrame, run_id: int) -> DataFrame:
     return records.filter(F.coalesce(*ids) == run_id)
 
 
+def with_meta(records: DataFrame, *names: str) -> DataFrame:
+    """Entries of the map ``meta`` as columns, null where it lacks them, so that clean records can be filtered, counted and
+    ordered by them; columns that are there already stay."""
+    return records.withColumns({c: F.try_element_at("meta", F.lit(c)) for c in names if c not in records.columns})
+
+
 def facet_filter(records: DataFrame, equal: dict[str, str] | None = None, part: dict[str, str] | None = None, among: dict[str, str] | None = None) -> DataFrame:
     """Columns that equal a value, contain one as a part, or have one among their joined values."""
     for c, v in (equal or {}).items():
@@ -53,12 +59,13 @@ def chapters(records: DataFrame, by: str, title: str, date: str, record_id: str)
 
 
 def flat_rows(records: DataFrame, columns: tuple[str, ...] = FLAT_COLUMNS) -> DataFrame:
-    """String columns for a flat file: lists joined by '|', null and zero as ''."""
+    """String columns for a flat file: lists joined by '|', null and zero as ''. What is no column of its own is looked up in the
+    map ``meta``."""
 
     def flat(c: str) -> Column:
         kind = dict(records.dtypes).get(c)
         if kind is None:
-            return F.lit("")
+            return F.coalesce(F.try_element_at("meta", F.lit(c)), F.lit("")) if "meta" in records.columns else F.lit("")
         if kind.startswith("array"):
             return F.coalesce(F.array_join(c, "|"), F.lit(""))
         value = F.col(c)

@@ -13,10 +13,11 @@ from .order import medians, values_at
 SEPARATORS = ("»", "›", "·", "|", "—", "/", "::")
 
 
-def status_counts(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Of rows with a status (kept, filtered, duplicate or fragment), the counts by the given columns."""
+def status_counts(outcomes: DataFrame, by: list[str], fragments: bool = False) -> DataFrame:
+    """Of rows with a status (kept, filtered, duplicate or fragment), the counts by the given columns; dropped_dedup counts
+    fragments too, and dropped_fragment, where it is asked for, counts them alone."""
     count = lambda s: F.count_if(F.col("status") == s)
-    return outcomes.groupBy(*by).agg(F.count("*").alias("input"), count("kept").alias("kept"), count("filtered").alias("dropped_filter"), (count("duplicate") + count("fragment")).alias("dropped_dedup"))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("input"), count("kept").alias("kept"), count("filtered").alias("dropped_filter"), (count("duplicate") + count("fragment")).alias("dropped_dedup"), *([count("fragment").alias("dropped_fragment")] if fragments else []))
 
 
 def bucket_totals(records: DataFrame) -> DataFrame:
