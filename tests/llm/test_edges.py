@@ -295,3 +295,24 @@ def test_held_out_rows_are_never_learned_from(spark):
     terms, _, _ = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert ("vilefoul", False) in terms and not [t for t, _ in terms if "blortish".startswith(t)]
     assert json.dumps(terms)
+
+
+def test_embedding_recall_on_planted_pairs(spark):
+    """1 500 pairs of 64 dimensions at cosines from 0.93 to 0.97, at the query's own parameters."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cosine = rng.uniform(0.931, 0.97, (1500, 1))
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, unit(rng.normal(size=(1000, 64)))])
+    label = np.concatenate([np.arange(1500) % 3] * 2 + [np.arange(1000) % 3])
+    rows = [(k, v.tolist(), int(x)) for k, (v, x) in enumerate(zip(vectors, label))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    alike = (vectors @ vectors.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(alike, False)
+    found = {r.vec_id: r for r in embedding_dedup.near_vectors(frame).collect()}
+    links = sum(r.n_links for r in found.values())
+    assert alike.sum() >= 3000 and 0.9 * alike.sum() <= links <= alike.sum()
+    assert all(found[k].n_links <= alike[k].sum() for k in found)
+    assert sum(found[k + 1500].component_id == k for k in range(1500)) >= 0.9 * 1500
