@@ -210,3 +210,17 @@ def streaming_clean(spark, sf_dir):
         stream = st.read_log(spark, log, "seq long, source string, source_type string, title string, text string, source_url string, subject string")
         st.clean_increment(stream, f"{path}/out", f"{path}/state", rules)
     return spark.read.parquet(f"{path}/out").select("seq", "id", "word_count")
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")
+def source_discovery(spark, sf_dir):
+    """Sources found in a stage's folder: JSON lines before Parquet of the same name, names that start with '_' left out."""
+    folder = scratch_path(spark, "stage")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    even = docs.filter("doc_id % 2 = 0")
+    even.select(F.to_json(F.struct("*"))).write.text(f"{folder}/even.jsonl")
+    even.withColumn("text", F.lit("")).write.parquet(f"{folder}/even.parquet")  # passed over
+    docs.filter("doc_id % 2 <> 0").write.parquet(f"{folder}/odd.parquet")
+    docs.select("text").write.text(f"{folder}/_index.jsonl")
+    found = io.read_stage(spark, folder, "doc_id long, text string")
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -56,3 +56,16 @@ def prompt_assembly(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "role", "text"))
     hits = turns.filter("turn > 0").withColumn("rank", place).filter("rank <= 3")
     return vector.prompts(hits.select("query_id", "rank", F.col("role").alias("bucket"), F.lit(None).cast("string").alias("title"), "text"), requests)
+
+
+def _measured(texts: list[str]) -> list[list[float]]:
+    """A model that is plain arithmetic: length, letters e, and words of a text."""
+    return [[float(len(t)), float(t.count("e")), float(len(t.split(" ")))] for t in texts]
+
+
+@query("""SELECT doc_id, length(p)::DOUBLE AS v0, len(regexp_extract_all(p, 'e'))::DOUBLE AS v1, len(string_split(p, ' '))::DOUBLE AS v2 FROM (SELECT doc_id, 'passage: ' || text AS p FROM documents)""")
+def batch_embed(spark, sf_dir):
+    """Vectors of all documents from a model function, a batch of texts at a time."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"))
+    found = vector.embed(rows, _measured, prefix="passage: ")
+    return found.select("doc_id", *(F.get("vector", F.lit(k)).cast("double").alias(f"v{k}") for k in range(3)))
