@@ -1,4 +1,4 @@
-"""Nearest vectors: exact for a set of queries, or within the nearest partitions; and embedding and prompting jobs."""
+"""Exact nearest vectors for a set of queries, and embedding and prompting jobs."""
 
 from __future__ import annotations
 
@@ -44,29 +44,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, where: str | Column
     return reduce(DataFrame.unionByName, found)
 
 
-def fit_partitions(vectors: DataFrame, n: int, seed: int = 3, sample: int = 20_000):
-    """Cluster centres from a bounded sample."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    taken = vectors.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(sample)
-    return KMeans(k=n, seed=seed, maxIter=10).fit(taken.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
-
-
-def knn_partitioned(vectors: DataFrame, queries: DataFrame, k: int = 10, partitions: int = 16, probes: int = 12, where: str | Column | None = None, model=None) -> DataFrame:
-    """Like knn(), but each query meets the rows of its nearest partitions alone."""
-    if where is not None:
-        vectors = vectors.filter(where)
-    model = model or fit_partitions(vectors, partitions)
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    table = F.array(*(F.struct(F.lit(i).alias("part"), F.array(*map(F.lit, c)).alias("centre")) for i, c in enumerate(centres)))
-    near = lambda v: F.array_sort(F.transform(table, lambda c: F.struct(squared_l2(v, c["centre"]).alias("d"), c["part"].alias("part"))))
-    placed = vectors.select("id", "vector", near("vector")[0]["part"].alias("part"))
-    asked = queries.select("query_id", F.col("vector").alias("query"), F.explode(F.slice(near("vector"), 1, probes)).alias("n")).select("query_id", "query", F.col("n.part").alias("part"))
-    pairs = placed.join(asked, "part").select("query_id", "id", squared_l2("vector", "query").alias("distance"))
-    return _best(pairs, k)
-
-
 def embed(passages: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "passage", batch: int = 32, prefix: str = "") -> DataFrame:
     """Adds vector, from a function of the user's that maps a batch of texts to vectors."""
     schema = T.StructType([*passages.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import vector
+from ..operators import vector, vector_index
 from .registry import query, table
 
 
@@ -34,12 +34,13 @@ def knn_filtered(spark, sf_dir):
 
 @query()
 def knn_partitioned(spark, sf_dir):
-    return vector.knn_partitioned(vectors(spark, sf_dir), asked(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+    """Nearest vectors by cells, coded residuals and exact distances of short lists."""
+    return vector_index.knn_quantised(vectors(spark, sf_dir), asked(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def knn_partitioned_recall(spark, sf_dir):
-    """Whether the partitioned search finds at least nine tenths of what the exact one finds."""
+    """Whether the search by cells and codes finds at least nine tenths of what the exact one finds."""
     keys = ["query_id", "id"]
     exact, near = (f(spark, sf_dir).select(*keys) for f in (knn_l2, knn_partitioned))
     both = exact.join(near.withColumn("found", F.lit(True)), keys, "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))

@@ -139,14 +139,6 @@ def test_embedding_and_kinds(spark):
     assert [r.k for r in names.select(source_kind(guess_source_type(F.col("n"))).alias("k")).collect()] == ["aldiwan", "telegram", "x", "fixture", "unknown"]
 
 
-def test_partitioned_search_recall(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
-    asked = frame.filter("id % 50 = 0").selectExpr("id AS query_id", "vector")
-    exact = {(r.query_id, r.id) for r in vector.knn(frame, asked).collect()}
-    near = {(r.query_id, r.id) for r in vector.knn_partitioned(frame, asked).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_registered_searches_recall(spark):
     """At the registered parameters; of the near duplicates those near the threshold."""
     from corpusmill.queries import QUERIES
