@@ -26,11 +26,10 @@ def bucket_totals(records: DataFrame) -> DataFrame:
 
 def nearest_rank_percentiles(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """Of each percent, the value at index round(p / 100 * (n - 1)), half to even; 0 for an empty table."""
-    total = values.agg(F.count(column).alias("total"))
-    wanted = total.select(F.explode(F.array(*map(F.lit, percents))).alias("percent"), "total")
-    places = wanted.select(F.col("percent").alias("name"), F.bround(F.col("percent") / 100 * (F.col("total") - 1)).cast("long").alias("at"))
-    hit = values_at(values, column, places).withColumnRenamed("name", "percent")
-    return wanted.select("percent").join(hit, "percent", "left").select("percent", F.coalesce("value", F.lit(0)).alias("value"))
+    hit = values_at(values, column, lambda n: {p: round(p / 100 * (n - 1)) for p in percents})
+    kind = values.schema[column].dataType.simpleString()
+    rows = values.sparkSession.createDataFrame([(p, hit.get(p)) for p in percents], f"percent int, value {kind}")
+    return rows.select("percent", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def top_counts(values: DataFrame, column: str, k: int) -> DataFrame:
@@ -89,7 +88,8 @@ def suggest_thresholds(texts: DataFrame, script: str = tx.ARABIC) -> DataFrame:
     """(min_chars, min_script_ratio, n, median_chars, median_ratio) of a sample."""
     rows = texts.filter(F.col("text") != "").select(F.length("text").alias("chars"), tx.script_ratio(F.col("text"), script).alias("ratio"))
     rows = stored(rows, "thresholds")
-    quarter = values_at(rows, "chars", rows.agg(F.lit("p25").alias("name"), F.floor(F.count("*") / 4).alias("at"))).select(F.col("value").alias("p25"))
+    hit = values_at(rows, "chars", lambda n: {"p25": n // 4})
+    quarter = rows.sparkSession.createDataFrame([tuple(hit.values())] if hit else [], "p25 int")
     middle = lambda c: medians(rows, c).select(F.col("median").alias(f"median_{c}"))
     found = rows.agg(F.count("*").alias("n"), F.min("ratio").alias("least")).join(middle("chars")).join(middle("ratio")).join(quarter)
     p25 = F.col("p25")

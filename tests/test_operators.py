@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from corpusmill.functions import rules as rl
 from corpusmill.operators import curation, dedup, incremental, pages, stats, vector
@@ -156,6 +158,25 @@ def test_frontier_and_cap(spark):
     assert [r.url for r in incremental.frontier(links, known, force=True, most=2).collect()] == ["a", "b"]
 
 
+def test_values_at_places_without_a_sort(spark, monkeypatch):
+    """Narrowed several times, among ties at either end, and where values are too close for a sketch."""
+    from corpusmill.operators import order
+
+    monkeypatch.setattr(order, "AT_ONCE", 20)
+    monkeypatch.setattr(order, "OFF", 1e-2)
+    rng = random.Random(7)
+    heavy = [5] * 4000 + [9] * 3000 + [rng.randrange(10_000) for _ in range(3000)]
+    close = [(1 << 60) + k for k in range(60)]
+    for data in (heavy, close, [0.5, float("inf"), -1.0] * 20 + [2.5], [3]):
+        kind = "double" if isinstance(data[0], float) else "long"
+        rows = spark.createDataFrame([(x,) for x in data] + [(None,)] * 5, f"x {kind}")
+        places = [0, 1, len(data) // 4, len(data) // 2, len(data) - 2, len(data) - 1]
+        asked = {f"p{k}": at for k, at in enumerate(places)}
+        got = order.values_at(rows, "x", lambda n: asked | {"beyond": n})
+        assert got == {name: sorted(data)[at] for name, at in asked.items() if 0 <= at < len(data)}
+    assert order.values_at(rows.filter("false"), "x", lambda n: {"a": 0}) == {}
+
+
 def test_running_totals_cross_ranges(spark):
     from corpusmill.operators import order
 
