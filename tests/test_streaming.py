@@ -1,5 +1,6 @@
 """Streams across restarts: state on disk, eviction and its memory."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -7,7 +8,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import dedup
 from corpusmill.streaming import corpus as st
+from corpusmill.streaming import near
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -76,3 +79,29 @@ def test_memory_of_state_stays_within_its_bound(tmp_path):
     sizes = [tuple(map(int, line.split()[1:])) for line in done.stdout.splitlines() if line.startswith("state")]
     assert [n for n, _ in sizes] == [250_000, 500_000, 750_000]
     assert max(used for _, used in sizes) <= 16 << 20
+
+
+def test_near_copies_fold_across_batches_as_in_one(spark, tmp_path):
+    """Copies, near copies, and fragments whose parent a later, longer text takes away, in three batches."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    long, rows = [words(60) for _ in range(6)], []
+    for text in long:
+        parts = text.split(" ")
+        # a fragment, its parent but for some words, a near copy of the whole, the whole, and the whole within a longer one
+        rows += [" ".join(parts[:12]), " ".join(parts[:30] + words(3).split(" ")), " ".join(parts[:59]), text, text, text + " " + words(50)]
+    rng.shuffle(rows)
+    rows = [("b" if k % 5 else "c", k, t) for k, t in enumerate([*rows, "", None, "?!", long[0], long[1]])]
+    schema = "bucket string, seq long, text string"
+    log, state, checkpoint = (f"file:{tmp_path}/{n}" for n in ("log", "state", "checkpoint"))
+    for part in (rows[:9], rows[9:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(log)
+        near.fold_near(st.read_log(spark, log, schema), state, checkpoint).awaitTermination()
+    got = sorted(map(tuple, near.folded(spark, state).collect()))
+    frame = spark.createDataFrame(rows, schema).withColumn("text", F.coalesce("text", F.lit("")))
+    copies = dedup.exact_duplicates(frame, ["bucket", "text"]).filter("is_dup").select("seq", "survivor_seq")
+    singles = frame.join(copies, "seq", "left_anti")
+    alike = dedup.near_duplicate_survivors(dedup.jaccard_pairs(singles))
+    parts = dedup.fold_fragments(dedup.containment_pairs(singles.join(alike, "seq", "left_anti")))
+    want = sorted((rows[r.seq][0], r.seq, r.survivor_seq) for r in dedup.ultimate_survivors(copies, alike, parts).collect())
+    assert len(want) > 10 and got == want
