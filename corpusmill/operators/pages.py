@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
 from html import unescape
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -15,125 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_PART = re.compile(r"([\w-]+|\*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([\^*$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
-
-
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str]
-    parent: Node | None = None
-    children: list[Node | str] = field(default_factory=list)
-
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def strings(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in ("script", "style"):
-                yield from c.strings()
-
-    def text(self) -> str | None:
-        return "\n".join(s for x in self.strings() if (s := x.strip())) or None
-
-    def html(self) -> str:
-        attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>{''.join(c if isinstance(c, str) else c.html() for c in self.children)}</{self.tag}>"
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {})
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def _is(node: Node, part: str) -> bool:
-    for tag, cls, ident, attr, how, value in _PART.findall(part):
-        have = node.attrs.get(attr)
-        if tag and tag not in ("*", node.tag) or cls and cls not in node.attrs.get("class", "").split() or ident and ident != node.attrs.get("id"):
-            return False
-        if attr and (have is None or how == "=" and have != value or how == "^=" and not have.startswith(value) or how == "*=" and value not in have or how == "$=" and not have.endswith(value)):
-            return False
-    return True
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Nodes below the root that match: tags, classes, ids, attribute tests, descendants, and lists of them."""
-    chains = [s.split() for s in selector.split(",") if s.strip()]
-
-    def matches(node: Node, chain: list[str]) -> bool:
-        if not _is(node, chain[-1]):
-            return False
-        rest, up = chain[:-1], node.parent
-        while rest and up:
-            if _is(up, rest[-1]):
-                rest = rest[:-1]
-            up = up.parent
-        return not rest
-
-    return [n for n in root.walk() if any(matches(n, c) for c in chains)]
-
-
-@dataclass(frozen=True)
-class FieldSpec:
-    selector: str
-    attr: str = "text"
-    multi: bool = False
-    join_with: str = "|"
-
-
-def _value(node: Node, attr: str) -> str | None:
-    return node.text() if attr == "text" else node.html() if attr == "html" else node.attrs.get(attr)
-
-
-def _field(root: Node, spec: FieldSpec) -> str | None:
-    values = [_value(n, spec.attr) for n in select(root, spec.selector)[: None if spec.multi else 1]]
-    return spec.join_with.join(v for v in values if v) or None
+from . import markup
+from .markup import FieldSpec
 
 
 def extract_records(pages: DataFrame, record: str, fields: dict[str, FieldSpec], keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """(keep, record_no, fields): a row for each node of the record selector with any field that isn't empty."""
-    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("record_no", T.IntegerType()), *(T.StructField(f, T.StringType()) for f in fields)])
+    """(keep, record_no, fields): a row for each node of the record selector with any field that isn't empty.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for values, text in zip(frame[list(keep)].itertuples(index=False), frame[html]):
-                found = ({f: _field(node, spec) for f, spec in fields.items()} for node in select(parse(text), record))
-                rows += [(*values, i, *r.values()) for i, r in enumerate(r for r in found if any(r.values()))]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    The outer form of explode keeps the optimizer from evaluating the records a second time to skip pages without any.
+    """
+    rows = pages.select(*keep, F.posexplode_outer(markup.records(F.col(html), record, fields)).alias("record_no", "__record"))
+    return rows.filter(F.col("record_no").isNotNull()).select(*keep, "record_no", *(F.col("__record")[f].alias(f) for f in fields))
 
 
 #: Page layouts by name; users add their own.
@@ -175,17 +63,8 @@ def links(pages: DataFrame, pattern: str = r'<a\b[^>]*?\shref="([^"]*)"', html:
 
 def selected_links(pages: DataFrame, selector: str = "a", attr: str = "href", keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """The same for nodes of a selector."""
-    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("ord", T.IntegerType()), T.StructField("link", T.StringType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for values, text in zip(frame[list(keep)].itertuples(index=False), frame[html]):
-                found = dict.fromkeys(v for n in select(parse(text), selector) if (v := n.attrs.get(attr)))
-                rows += [(*values, i, v) for i, v in enumerate(found)]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    found = F.array_distinct(markup.values(F.col(html), selector, attr))
+    return pages.select(*keep, F.posexplode_outer(found).alias("ord", "link")).filter(F.col("ord").isNotNull())
 
 
 def resolve(base: Column, link: Column) -> Column:

@@ -100,7 +100,20 @@ def hit_projection(spark, sf_dir):
     return hits.join(discovery.project_hits(hits).withColumnRenamed("title", "t").select("t", "thumbnail", F.col("channel").alias("ch"), "url"), F.col("title") == F.col("t")).select("page_id", "url", "thumbnail", F.col("ch").alias("channel"))
 
 
-@query()
+def _said(text):
+    """A text of an article's markup, without references and outer white space."""
+    return f"""regexp_replace(regexp_replace(replace(replace(regexp_replace({text}, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '^\\s+|\\s+$', '', 'g')"""
+
+
+#: Paragraphs need not end before the next begins; then they hold it. Depths of paragraphs alone tell where each one ends.
+@query(f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+ t AS (SELECT page_id, unnest(f) AS t, generate_subscripts(f, 1) AS i FROM (SELECT page_id, regexp_extract_all(body, '<[^>]*>|[^<]+') AS f FROM a)),
+ d AS (SELECT *, sum(CASE t WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM t),
+ e AS (SELECT p.page_id, p.i, coalesce(min(d.i) FILTER (d.depth < p.depth), 1e9) AS until FROM d AS p JOIN d ON d.page_id = p.page_id AND d.i > p.i WHERE p.t = '<p>' GROUP BY ALL),
+ x AS (SELECT e.page_id, e.i, string_agg({_said('d.t')}, chr(10) ORDER BY d.i) AS text FROM e JOIN d ON d.page_id = e.page_id AND d.i > e.i AND d.i < e.until WHERE d.t NOT LIKE '<%' AND {_said('d.t')} <> '' GROUP BY ALL),
+ r AS (SELECT page_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS text FROM x GROUP BY page_id),
+ h AS (SELECT page_id, nullif({_said("regexp_extract(body, '<h1>([^<]*)', 1)")}, '') AS title FROM a)
+ SELECT page_id, 0::INT AS record_no, title, text FROM h LEFT JOIN r USING (page_id) WHERE title IS NOT NULL OR text IS NOT NULL""")
 def page_records(spark, sf_dir):
     record, fields = pg.LAYOUTS["article"]
     return pg.extract_records(pages(spark, sf_dir), record, fields).select("page_id", "record_no", "title", F.sha2("text", 256).alias("text"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 from corpusmill.functions import rules as rl
-from corpusmill.operators import curation, dedup, incremental, pages, stats, vector
+from corpusmill.operators import curation, dedup, incremental, markup, pages, stats, vector
 from corpusmill.operators.categorize import guess_source_type, source_kind
 from corpusmill.plans import clean as plan
 from corpusmill.sources import io
@@ -17,8 +17,9 @@ def test_pages_give_records_and_links(spark):
     got = pages.extract_records(frame, "article.poem", {"title": pages.FieldSpec(".title"), "text": pages.FieldSpec("p.body"), "links": pages.FieldSpec("a[href^='/']", "href", True)}).orderBy("record_no").collect()
     assert [(r.title, r.text, r.links) for r in got] == [("One", "a\nb", "/x"), ("Two & more", "c", "/x|/y")]
     assert [r.link for r in pages.selected_links(frame, "article a").orderBy("ord").collect()] == ["/x", "/y"]
-    root = pages.parse(HTML)
-    assert len(pages.select(root, "#two a[data-k*=v], h2")) == 3 and len(pages.select(root, ".wide .title")) == 1
+    one = lambda selector, attr: frame.filter("page_id = 1").select(markup.values(F.col("html"), selector, attr)).first()[0]
+    assert one("#two a[data-k*=v], h2", "text") == ["One", "Two & more", "y"] and one(".wide .title", "text") == ["Two & more"]
+    assert one("article.wide p, br", "html") == ["<br>", '<p class="body">c</p>'] and one("body > html, [data-k$='1']", "data-k") == ["v1"]
 
 
 @pytest.mark.parametrize("link", ["/p", "p?q#f", "//o.org/x", "http://z/", "?q=1", "#top"])
