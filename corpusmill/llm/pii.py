@@ -6,12 +6,13 @@ and the words around it become small whole numbers; boosted trees of depth two o
 fitted on rows that no tree saw turns it into a probability, and a threshold for each kind, the lowest at which the rows
 that no tree saw are right often enough, selects. Of candidates that overlap, the likeliest stays; none overlaps a base span.
 
-Nobody labels candidates: the model learns from a bounded sample of base spans as they stand, rewritten in the generators'
-forms (1) and the same with their digits or letters spoilt (0), and from a sample of candidates that no base span confirms (0),
-which count less where they look right: they may be what the model is to find.
+Nobody labels candidates: the model learns from all base spans as they stand, rewritten in the generators' forms (1) and the
+same with their digits or letters spoilt (0), and from all candidates that no base span confirms (0), which count less where
+they look right: they may be what the model is to find.
 
 All of it is column expressions: a text is read once, in one row, for its candidates and their features; each level of a tree
-is one aggregation of gradients over a bounded table; trees become nested conditions.
+is one aggregation of gradients over the distinct features, as whole multiples of a small step, so that no order of rows
+changes a sum; trees become nested conditions.
 
 Edge cases: a null or empty text has no spans. Repeated rows and rows without an id fare alike. Without any base span in the
 table nothing is learned and nothing is added; an empty table gives no rows. Positions are code points, ends exclusive.
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base spans and unconfirmed candidates of each kind that the model is fitted on, at most.
-PER_KIND, UNCONFIRMED = 4_000, 20_000
 ROUNDS, RATE, PRECISION = 12, 0.4, 0.95
 #: What an unconfirmed candidate that looks right counts as against a row known to be wrong, and the least a branch must weigh.
 UNSURE, BRANCH = 0.2, 2.0
+#: Steps of a whole in sums of gradients, and decimals of leaves: margins are multiples of a thousandth.
+STEPS, DECIMALS = 1 << 24, 3
 #: Characters on either side that features see, and of a candidate at most, about.
 CONTEXT, LONGEST = 40, 256
 #: Places of the order by start within which spans of at most LONGEST characters can overlap: none is shorter than five.
@@ -259,21 +260,19 @@ class Model:
         return reduce(lambda a, b: a | b, known, F.lit(False))
 
 
-def training_rows(found: DataFrame, per_kind: int = PER_KIND, unconfirmed: int = UNCONFIRMED) -> DataFrame:
-    """(kind, x, y, held_out, w): distinct features of the sampled rows, and the weight of the rows that have them."""
-    order = F.xxhash64("m", "before", "after", "start")
+def training_rows(found: DataFrame) -> DataFrame:
+    """(kind, x, y, held_out, w): distinct features of all base spans and candidates, and the weight of the rows that have them."""
     spans = found.select(F.explode("__base").alias("s")).select("s.*")
     parts = []
     for k in range(len(KINDS)):
-        some = spans.filter(F.col("kind") == k).orderBy(order, "m").limit(per_kind)
         rows = F.array(*(F.struct(f.alias("m"), F.lit(1).alias("y")) for f in _forms(k, F.col("m"))), *(F.struct(f.alias("m"), F.lit(0).alias("y")) for f in _forms(k, _spoilt(k, F.col("m")))))
-        each = some.select(F.lit(k).alias("kind"), F.pmod(F.xxhash64("m"), F.lit(3)).alias("fold"), F.explode(rows).alias("r"), "before", "after")
+        each = spans.filter(F.col("kind") == k).select("kind", F.pmod(F.xxhash64("m"), F.lit(3)).alias("fold"), F.explode(rows).alias("r"), "before", "after")
         parts.append(each.select("kind", "fold", "r.y", F.lit(True).alias("sure"), features(k, F.col("r.m"), F.col("before"), F.col("after")).alias("x")))
-        loose = found.select(F.explode("__loose").alias("s")).filter(F.col("s.kind") == k).select("s.x", F.xxhash64("s.x", "s.start").alias("h"))
-        parts.append(loose.orderBy("h").limit(unconfirmed).select(F.lit(k).alias("kind"), F.pmod(F.col("h"), F.lit(3)).alias("fold"), F.lit(0).alias("y"), F.lit(False).alias("sure"), "x"))
+    loose = found.select(F.explode("__loose").alias("s"))
+    parts.append(loose.select("s.kind", F.pmod(F.xxhash64("s.x", "s.start"), F.lit(3)).alias("fold"), F.lit(0).alias("y"), F.lit(False).alias("sure"), "s.x"))
     rows = reduce(DataFrame.unionByName, parts).groupBy("kind", "x", "y", "sure", (F.col("fold") == 0).alias("held_out")).agg(F.count("*").alias("n"))
     weight = F.when(F.col("sure") | (F.get("x", F.lit(0)) == 0), F.col("n")).otherwise(F.col("n") * UNSURE)
-    return written(rows.select("kind", "x", "y", "held_out", weight.cast("double").alias("w")).coalesce(1), "pii-training")
+    return written(rows.select("kind", "x", "y", "held_out", weight.cast("double").alias("w")), "pii-training")
 
 
 def _gain(g: float, h: float) -> float:
@@ -327,9 +326,9 @@ def _threshold(rows: list[tuple[float, int, float]], curve: tuple[float, float],
     return None if best is None else max(0.5, (best + max((p for p in at if p < best), default=0.0)) / 2)
 
 
-def train(found: DataFrame, per_kind: int = PER_KIND, unconfirmed: int = UNCONFIRMED, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION) -> Model:
+def train(found: DataFrame, rounds: int = ROUNDS, rate: float = RATE, precision: float = PRECISION) -> Model:
     """Fit the trees of all kinds at once: each level of a tree is one aggregation over at most 2 nodes of each kind."""
-    rows = training_rows(found, per_kind, unconfirmed)
+    rows = training_rows(found)
     fit = rows.filter("NOT held_out")
     model = Model({k: [] for k in range(len(KINDS))}, {}, {})
 
@@ -338,10 +337,11 @@ def train(found: DataFrame, per_kind: int = PER_KIND, unconfirmed: int = UNCONFI
         p = 1 / (1 + F.exp(-by_kind(lambda k: model.margin(k, F.col("x")))))
         node = reduce(lambda out, k: F.when((F.col("kind") == k) & (F.get("x", F.lit(nodes[k].feature)) > nodes[k].most), 1).otherwise(out), (k for k, n in nodes.items() if n), F.lit(0))
         graded = fit.select("kind", "x", "y", "w", p.alias("p"), node.alias("node"))
-        graded = graded.select("kind", "node", F.posexplode("x").alias("f", "v"), (F.col("w") * (F.col("y") - F.col("p"))).alias("g"), (F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"))
+        steps = lambda c: F.round(c * STEPS).cast("long")
+        graded = graded.select("kind", "node", F.posexplode("x").alias("f", "v"), steps(F.col("w") * (F.col("y") - F.col("p"))).alias("g"), steps(F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"))
         out: dict = {}
-        for r in graded.groupBy("kind", "node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # at most 2 * 16 * 16 rows a kind
-            out.setdefault((r.kind, r.node), {}).setdefault(r.f, {})[r.v] = (r.g, r.h)
+        for r in sorted(graded.groupBy("kind", "node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()):  # at most 2 * 16 * 16 rows a kind
+            out.setdefault((r.kind, r.node), {}).setdefault(r.f, {})[r.v] = (r.g / STEPS, r.h / STEPS)
         return out
 
     for _ in range(rounds):
@@ -354,7 +354,7 @@ def train(found: DataFrame, per_kind: int = PER_KIND, unconfirmed: int = UNCONFI
             sides = []
             for side in (0, 1):
                 bins = below[k, side]
-                leaf = lambda some: Leaf(round(rate * sum(v[0] for v in some) / (sum(v[1] for v in some) + 1), 6))
+                leaf = lambda some: Leaf(round(rate * sum(v[0] for v in some) / (sum(v[1] for v in some) + 1), DECIMALS))
                 if b := _best(bins):
                     values = bins[b[1]]
                     sides.append(Split(b[1], b[2], leaf([values[v] for v in values if v <= b[2]]), leaf([values[v] for v in values if v > b[2]])))
@@ -363,9 +363,9 @@ def train(found: DataFrame, per_kind: int = PER_KIND, unconfirmed: int = UNCONFI
             model.trees[k].append(Split(first.feature, first.most, *sides))
     kept = [k for k, trees in model.trees.items() if trees]
     margin = reduce(lambda out, k: F.when(F.col("kind") == k, model.margin(k, F.col("x"))).otherwise(out), kept, F.lit(0.0))
-    unseen = rows.filter("held_out").groupBy("kind", "y", F.round(margin, 4).alias("m")).agg(F.sum("w").alias("w")).collect()  # a row for each margin the trees can give
+    unseen = rows.filter("held_out").groupBy("kind", "y", F.round(margin, DECIMALS).alias("m")).agg(F.round(F.sum("w"), 6).alias("w")).collect()  # at most 1 000 rows for each whole of margin and label
     for k in kept:
-        of_kind = [(r.m, r.y, r.w) for r in unseen if r.kind == k]
+        of_kind = sorted((r.m, r.y, r.w) for r in unseen if r.kind == k)
         if {y for _, y, _ in of_kind} == {0, 1}:
             model.curves[k] = _curve(of_kind)
             model.thresholds[k] = _threshold(of_kind, model.curves[k], precision)

@@ -94,6 +94,20 @@ def test_model_adds_what_patterns_miss(corpus):
     assert not any(added[i] for i in (1005, 1006)) and not any(added[k] for k in range(400))
 
 
+def test_model_learns_from_all_rows(spark):
+    mails = [" ".join(f"u{j}.{k}@mail.example.org" for j in range(50)) for k in range(90)]
+    wrong = [" ".join(f"999.{k}.1.{j} x" for j in range(100)) for k in range(210)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(mails + wrong)), "doc_id long, text string"))
+    weights = {(r.kind, r.y): r.w for r in pii.training_rows(found).groupBy("kind", "y").agg(F.sum("w").alias("w")).collect()}
+    assert [weights[0, 1], weights[0, 0], weights[1, 0]] == [6 * 4_500, 6 * 4_500, 21_000]
+
+
+def test_model_is_the_same_however_rows_are_spread(corpus):
+    found = pii.candidates(corpus[1])
+    model = pii.train(found)
+    assert all(model.trees[k] and model.thresholds[k] for k in range(4)) and pii.train(found.repartition(7)) == model
+
+
 def test_nothing_to_learn_from(spark, corpus):
     docs = spark.createDataFrame([(1, "jo (at) mail (dot) org"), (2, None)], "doc_id long, text string")
     assert [r.spans for r in pii.find(docs).collect()] == [[], []]
