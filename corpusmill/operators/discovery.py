@@ -107,7 +107,7 @@ def query_variants(subjects: DataFrame) -> DataFrame:
     return subjects.select("name", F.posexplode(variants).alias("ord", "query"))
 
 
-def project_hits(hits: DataFrame) -> DataFrame:
-    """(id, title, thumbnail, channel, url) of video search hits."""
+def project_hits(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, id, title, thumbnail, channel, url) of video search hits."""
     url = F.when(F.col("id").isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), "id"))
-    return hits.select("id", "title", F.try_element_at("thumbnails", F.lit(-1)).alias("thumbnail"), F.coalesce("channel", "uploader").alias("channel"), url.alias("url"))
+    return hits.select(*keep, "id", "title", F.try_element_at("thumbnails", F.lit(-1)).alias("thumbnail"), F.coalesce("channel", "uploader").alias("channel"), url.alias("url"))

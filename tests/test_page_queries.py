@@ -31,3 +31,7 @@ def test_titles_decode_whole_references_alone(spark, odd_pages):
 
 def test_re_extraction_counts_each_page(spark, odd_pages):
     same_as_sql(spark, odd_pages, "re_extract_counts")
+
+
+def test_hits_with_one_address_are_projected_once(spark, odd_pages):
+    same_as_sql(spark, odd_pages, "hit_projection")
